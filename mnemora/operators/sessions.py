@@ -14,7 +14,7 @@ CELL_BITS = 27
 LEVEL_BITS = 36
 SLICE_BITS = 31
 
-_SPACE = r"[\s\x85\xA0  -     　﻿]+"
+_SPACE = r"[\s\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 _BLANK = f"^{_SPACE}|{_SPACE}$"
 
 
