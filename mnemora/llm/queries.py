@@ -24,7 +24,26 @@ def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("video_id", "first_frame", "last_frame", "frames", F.round("duration_s", 3).alias("duration_s"))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.tokens import token_ids
+
+    return token_ids(read_table(spark, sf_dir, "documents"))
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.leaks import leaked_passages
+
+    return leaked_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_passages(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_runs": p3_runs,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_passages": p8_passages,
 }
