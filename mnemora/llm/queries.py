@@ -9,6 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from mnemora.sources.shared import read_table
 
 
+def _repeats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All memories in two batches, the earlier and the later half of the days that they cover."""
+    from pyspark.sql import functions as F
+
+    from mnemora.llm.history import NoteHistory
+    from mnemora.sources.shared import new_path
+
+    notes = read_table(spark, sf_dir, "memories").select("id", F.col("created_at").alias("at"), "content")
+    low, high = notes.agg(F.min("at"), F.max("at")).first()
+    history = NoteHistory(spark, new_path(spark, "history"))
+    if low is None:
+        return notes, history.merge(notes)
+    middle = (low + high) // 2 // 86_400_000 * 86_400_000
+    found = history.merge(notes.filter(F.col("at") < middle))
+    return notes, found.union(history.merge(notes.filter(F.col("at") >= middle)))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeats(spark, sf_dir)[1]
+
+
+def p2_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each batch (a UTC day): the number of memories and of repeats."""
+    from pyspark.sql import functions as F
+
+    notes, found = _repeats(spark, sf_dir)
+    days = notes.filter("id is not null").groupBy("id").agg(F.min("at").alias("at"))
+    days = days.join(found.withColumn("repeat", F.lit(1)), "id", "left")
+    day = F.date_format(F.timestamp_millis("at"), "yyyy-MM-dd").alias("day")
+    return days.groupBy(day).agg(F.count("*").alias("memories"), F.count("repeat").alias("repeats"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemora.llm.frame_runs import frame_runs
 
@@ -41,6 +73,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_daily": p2_daily,
     "p3_found": p3_found,
     "p3_runs": p3_runs,
     "p7_ids": p7_ids,
