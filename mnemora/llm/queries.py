@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from mnemora.sources.shared import read_table
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every vector: the up to five most similar ones with a cosine of 0.85 or more."""
+    from pyspark.sql import functions as F
+
+    from mnemora.llm.neighbours import nearest
+
+    memories = read_table(spark, sf_dir, "memory_embeddings").select(F.concat(F.lit("memory/"), "model").alias("space"), F.col("memory_id").alias("id"), F.col("dimensions").alias("size"), "vector")
+    visuals = read_table(spark, sf_dir, "visual_memories").select(F.lit("visual/").alias("space"), "id", F.lit(64).alias("size"), F.col("embedding").alias("vector"))
+    found = nearest(memories.unionByName(visuals))
+    return found.select(F.substring_index("space", "/", 1).alias("kind"), "id", "neighbour", "cosine", "rank")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return p1_neighbours(spark, sf_dir).select("kind", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
 def _repeats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All memories in two batches, the earlier and the later half of the days that they cover."""
     from pyspark.sql import functions as F
@@ -73,6 +91,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_neighbours": p1_neighbours,
     "p2_found": p2_found,
     "p2_daily": p2_daily,
     "p3_found": p3_found,
