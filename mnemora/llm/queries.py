@@ -74,6 +74,27 @@ def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("video_id", "first_frame", "last_frame", "frames", F.round("duration_s", 3).alias("duration_s"))
 
 
+def _cut_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mnemora.llm.truncation import ODDS, cut_texts
+
+    odds = cut_texts(read_table(spark, sf_dir, "memories").select("id", "source", F.col("content").alias("text")))
+    return odds.select("id", "source", (F.col("odds") >= ODDS).alias("cut")).filter("id is not null")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_memories(spark, sf_dir).filter("cut").select("id").distinct()
+
+
+def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source: the number of memories, of those that were cut, and their share."""
+    from pyspark.sql import functions as F
+
+    one = _cut_memories(spark, sf_dir).groupBy("id").agg(F.max("source").alias("source"), F.max("cut").alias("cut"))
+    return one.groupBy("source").agg(F.count("*").alias("memories"), F.count_if("cut").alias("cut"), F.round(F.avg(F.col("cut").cast("int")), 6).alias("share"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemora.llm.tokens import token_ids
 
@@ -97,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_daily": p2_daily,
     "p3_found": p3_found,
     "p3_runs": p3_runs,
+    "p4_found": p4_found,
+    "p4_sources": p4_sources,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
