@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.sources.shared import materialize, new_path
@@ -24,7 +24,7 @@ from mnemora.sources.shared import materialize, new_path
 #: Neighbours of a vector and the least cosine that counts.
 K, LEAST = 5, 0.85
 #: Error of the stopping test; rows of a leaf and of a block; rows in the sample that the cuts are fitted on.
-ERROR, LEAF_ROWS, BLOCK_ROWS, SAMPLE = 0.2, 128, 16_384, 16_384
+ERROR, LEAF_ROWS, BLOCK_ROWS, SAMPLE = 0.4, 128, 16_384, 16_384
 #: Copies of one vector that are indexed; by the tie rule the others' neighbours are the first of these.
 COPIES = K + 1
 #: Levels of the largest tree: 2**20 leaves.
@@ -182,15 +182,15 @@ class _Best:
         self.q, self.cos, self.ids = q[keep], cos[keep], ids[keep]
 
 
-def search_block(tree: ProjectionTree, blocks: _Blocks, block: int, block_bits: int, k: int, least: float, error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbours of all rows of a block: ids, neighbours' ids, cosines rounded to 6 places, ranks from 1."""
+def search_block(tree: ProjectionTree, blocks: _Blocks, block: int, block_bits: int, k: int, least: float, error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to 2 k neighbours of all rows of a block: ids, neighbours' ids, cosines rounded to 6 places."""
     ids, leaf, vectors = blocks.read(block)
     n = len(ids)
     if not n:
-        return ids, ids, np.empty(0), np.empty(0, np.int32)
+        return ids, ids, np.empty(0)
     exact = vectors.astype(np.float64)
     exact /= np.linalg.norm(exact, axis=1)[:, None]
-    best = _Best(n, k, least)
+    best = _Best(n, 2 * k, least)  # more than k: what one side misses, the other may have found
     shift = tree.levels - block_bits
 
     def hold(queries: np.ndarray, other: np.ndarray, other_ids: np.ndarray) -> None:
@@ -207,8 +207,9 @@ def search_block(tree: ProjectionTree, blocks: _Blocks, block: int, block_bits:
         hold(np.arange(a, b), vectors[a:b], ids[a:b])
     best.settle()
     squared = np.full(n, 2 - 2 * least, np.float32)
-    full = np.flatnonzero(np.bincount(best.q, minlength=n) >= k)
-    squared[full] = np.minimum(squared[full], 2 - 2 * best.floor[full])
+    rank = np.arange(len(best.q)) - np.searchsorted(best.q, np.arange(n))[best.q]
+    last = rank == k - 1
+    squared[best.q[last]] = np.minimum(squared[best.q[last]], (2 - 2 * best.cos[last]).astype(np.float32))
     np.maximum(squared, 1e-6, out=squared)
     projected = vectors @ tree.directions[: tree.levels].T
     leaves, queries = [], []
@@ -239,8 +240,7 @@ def search_block(tree: ProjectionTree, blocks: _Blocks, block: int, block_bits:
                     hold(asked[c : c + 8192], other_vectors[r : min(hi, r + 1024)], other_ids[r : min(hi, r + 1024)])
         best.settle()
     best.settle()
-    start = np.searchsorted(best.q, np.arange(n))
-    return ids[best.q], best.ids, best.cos, (np.arange(len(best.q)) - start[best.q] + 1).astype(np.int32)
+    return ids[best.q], best.ids, best.cos
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -325,8 +325,6 @@ def nearest(vectors: DataFrame, k: int = K, least: float = LEAST, error: float =
     many = not heavy.isEmpty()
     extra = None
     if many:
-        from pyspark.sql import Window
-
         copies = rows.join(heavy, ["number", "copy"], "left_semi").select("number", "copy", "id").distinct()
         window = Window.partitionBy("number", "copy").orderBy("id")
         firsts = materialize(copies.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= COPIES), "firsts")
@@ -345,9 +343,14 @@ def nearest(vectors: DataFrame, k: int = K, least: float = LEAST, error: float =
         for batch in batches:
             for number, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = search_block(trees[number], _Blocks(f"{path}/number={number}"), b, bits[number], k, least, error)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), number, np.int32)), pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.float64()), pa.array(found[3], pa.int32())], names=["number", "id", "neighbour", "cosine", "rank"])
-
-    result = plan.mapInArrow(search, "number int, id string, neighbour string, cosine double, rank int")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), number, np.int32)), pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.float64())], names=["number", "id", "neighbour", "cosine"])
+
+    found = materialize(plan.mapInArrow(search, "number int, id string, neighbour string, cosine double"), "found")
+    # each pair counts for both of its sides, whichever of them found it
+    both = found.unionByName(found.select("number", F.col("neighbour").alias("id"), F.col("id").alias("neighbour"), "cosine"))
+    both = both.repartition("number", "id").distinct()
+    order = Window.partitionBy("number", "id").orderBy(F.desc("cosine"), "neighbour")
+    result = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if extra is not None:
         result = result.unionByName(extra)
     name = F.lit(None).cast("string")
