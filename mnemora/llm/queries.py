@@ -95,6 +95,25 @@ def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.groupBy("source").agg(F.count("*").alias("memories"), F.count_if("cut").alias("cut"), F.round(F.avg(F.col("cut").cast("int")), 6).alias("share"))
 
 
+def p5_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both texts of every memory with placeholders in place of personal data."""
+    from pyspark.sql import functions as F
+
+    from mnemora.llm.personal import personal_data
+
+    found = personal_data(read_table(spark, sf_dir, "memories").filter("id is not null"), read_table(spark, sf_dir, "contacts"))
+    return found.select("id", F.size("mentions").alias("mentions"), "content", "gist").distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mnemora.llm.personal import personal_data
+
+    found = personal_data(read_table(spark, sf_dir, "memories").filter("id is not null"), read_table(spark, sf_dir, "contacts"))
+    return found.select("id", F.explode("mentions").alias("m")).select("id", "m.field", "m.kind", "m.start_pos").distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemora.llm.tokens import token_ids
 
@@ -120,6 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_runs": p3_runs,
     "p4_found": p4_found,
     "p4_sources": p4_sources,
+    "p5_found": p5_found,
+    "p5_masked": p5_masked,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
