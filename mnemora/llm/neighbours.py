@@ -24,7 +24,7 @@ from mnemora.sources.shared import materialize, new_path
 #: Neighbours of a vector and the least cosine that counts.
 K, LEAST = 5, 0.85
 #: Error of the stopping test; rows of a leaf and of a block; rows in the sample that the cuts are fitted on.
-ERROR, LEAF_ROWS, BLOCK_ROWS, SAMPLE = 0.4, 128, 16_384, 16_384
+ERROR, LEAF_ROWS, BLOCK_ROWS, SAMPLE = 0.3, 64, 16_384, 16_384
 #: Copies of one vector that are indexed; by the tie rule the others' neighbours are the first of these.
 COPIES = K + 1
 #: Levels of the largest tree: 2**20 leaves.
@@ -90,30 +90,31 @@ class ProjectionTree:
         return at
 
     def reach(self, projected: np.ndarray, squared: np.ndarray, error: float) -> tuple[np.ndarray, np.ndarray]:
-        """Leaves that the test can't leave out for some of the queries, and for which (a row for each query).
+        """Pairs of a leaf and a query for which the test can't leave the leaf out.
 
-        ``squared`` is the squared distance within which a query's neighbours are sought.
+        ``squared`` is the squared distance within which a query's neighbours are sought.  The test is made at each
+        crossed cut on the way down, so that what is left out takes no more work.
         """
-        nodes = np.zeros(1, np.int64)
-        far = np.zeros((len(projected), 1), np.float32)
-        apart = np.zeros((len(projected), 1), np.int8)
         limits = np.array([0.0, *(quantile(d, error) for d in range(1, self.levels + 1))], np.float32)
+        scaled = 1 / squared
+        query = np.arange(len(projected), dtype=np.int32)
+        node = np.zeros(len(projected), np.int32)
+        far = np.zeros(len(projected), np.float32)
+        apart = np.zeros(len(projected), np.int8)
         for level, cuts in enumerate(self.cuts):
-            over = projected[:, level, None] - cuts[nodes][None, :]
-            step = over * over
-            step /= squared[:, None]
+            over = projected[:, level][query] - cuts[node]
             right = over > 0
-            # left child: crossed where the query lies right of the cut, and the other way round
-            fars = np.stack([far + step * right, far + step * ~right], 2).reshape(len(projected), -1)
-            aparts = np.stack([apart + right, apart + ~right], 2).reshape(len(projected), -1)
-            nodes = np.stack([2 * nodes, 2 * nodes + 1], 1).ravel()
-            # a cell only moves away further down, but with more directions the quantile grows: the last one bounds all
-            open_ = fars <= limits[np.minimum(aparts + (self.levels - level - 1), self.levels)] if level < self.levels - 1 else fars <= limits[aparts]
-            kept = open_.any(0)
-            nodes, far, apart = nodes[kept], fars[:, kept], aparts[:, kept]
-            if level == self.levels - 1:
-                return nodes, open_[:, kept]
-        return nodes, np.ones((len(projected), 1), bool)
+            crossed = over * over
+            crossed *= scaled[query]
+            crossed += far
+            goes = np.flatnonzero(crossed <= limits[1:][apart])
+            node *= 2
+            node += right
+            node = np.concatenate([node, node[goes] ^ 1])
+            query = np.concatenate([query, query[goes]])
+            far = np.concatenate([far, crossed[goes]])
+            apart = np.concatenate([apart, apart[goes] + np.int8(1)])
+        return node, query
 
 
 class _Blocks:
@@ -195,8 +196,9 @@ def search_block(tree: ProjectionTree, blocks: _Blocks, block: int, block_bits:
 
     def hold(queries: np.ndarray, other: np.ndarray, other_ids: np.ndarray) -> None:
         cos = vectors[queries] @ other.T
-        a, b = np.nonzero(cos >= best.floor[queries][:, None])
-        if len(a):
+        near = np.flatnonzero(cos >= best.floor[queries][:, None])
+        if len(near):
+            a, b = np.divmod(near, len(other))
             q = queries[a]
             cos = np.round(np.einsum("ij,ij->i", exact[q], _unit(other[b])), 6)
             fits = (cos >= least) & (other_ids[b] != ids[q])
@@ -214,10 +216,9 @@ def search_block(tree: ProjectionTree, blocks: _Blocks, block: int, block_bits:
     projected = vectors @ tree.directions[: tree.levels].T
     leaves, queries = [], []
     for at in range(0, n, 2048):
-        nodes, open_ = tree.reach(projected[at : at + 2048], squared[at : at + 2048], error)
-        which, q = np.nonzero(open_.T)
-        leaves.append(nodes[which].astype(np.int32))
-        queries.append((q + at).astype(np.int32))
+        nodes, q = tree.reach(projected[at : at + 2048], squared[at : at + 2048], error)
+        leaves.append(nodes)
+        queries.append(q + np.int32(at))
     leaves, queries = np.concatenate(leaves), np.concatenate(queries)
     order = np.argsort(leaves, kind="stable")
     leaves, queries = leaves[order], queries[order]
