@@ -130,6 +130,20 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_passages(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.subjects import subjects
+
+    found = subjects(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "doc_subjects"), read_table(spark, sf_dir, "subject_areas"))
+    return found.select("doc_id", "subject_id")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each subject area: the number of documents that it is assigned to."""
+    from pyspark.sql import functions as F
+
+    return p9_found(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
@@ -144,4 +158,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
