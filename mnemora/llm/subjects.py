@@ -20,7 +20,7 @@ from mnemora.llm.leaks import byte_words
 from mnemora.sources.shared import materialize
 
 #: Bits of the word table; dimensions of the vectors; levels of the tree; passes for each level.
-WORD_BITS, DIMS, LEVELS, PASSES = 16, 128, 6, 3
+WORD_BITS, DIMS, LEVELS, PASSES = 16, 128, 7, 3
 #: Words a document needs to be judged; share of documents from which a word says nothing.
 LEAST_WORDS, COMMON, RARE = 12, 0.1, 3
 #: How far a word's leaning to a subject is sharpened, and the leaning from which it tells.
@@ -224,7 +224,7 @@ class Corpus:
         rows = self.table.filter("octet_length(slots) > 0").select("slots", "vector").coalesce(16).mapInArrow(count, "cell int, n bigint")
         rows = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # no more rows than the table has cells
         cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
-        table, sizes = np.zeros(_WORDS * leaves), np.zeros(leaves)
+        table, sizes = np.zeros(_WORDS * leaves, np.float32), np.zeros(leaves)
         table[cell[cell >= 0]] = n[cell >= 0]
         sizes[-1 - cell[cell < 0]] = n[cell < 0]
         return sizes, table.reshape(_WORDS, leaves)
