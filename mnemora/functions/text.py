@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that are no key terms (fixed values).
 STOP_WORDS = """the a an is are was were be been being have has had do does did will would could should may might must shall
@@ -21,38 +26,41 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?]) "), F.trim), lambda s: s != "")
 
 
-def key_terms(text: Column, first: Column) -> Column:
-    """Up to three words of four letters or more that come twice and not in the first sentence, by count, then place."""
-    word = r"(?<![A-Za-z0-9_])([a-z]+)(?![A-Za-z0-9_])"
-    words = F.regexp_extract_all(F.lower(text), F.lit(word), 1)
-    own = F.regexp_extract_all(F.lower(first), F.lit(word), 1)
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    kept = F.filter(words, lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w) & ~F.array_contains(own, w))
-    counted = F.transform(F.array_distinct(kept), lambda w: F.struct((-F.size(F.filter(kept, lambda x: x == w))).alias("n"), F.array_position(kept, w).alias("at"), w.alias("w")))
-    often = F.array_sort(F.filter(counted, lambda c: c["n"] <= -2))
-    return F.transform(F.slice(often, F.lit(1), F.lit(3)), lambda c: c["w"])
-
+_WORD = re.compile(r"\b[a-z]+\b", re.ASCII)
 
-def key_phrase(text: Column, most: int) -> Column:
-    start = F.struct(F.lit("").alias("t"), F.lit(False).alias("full"))
 
-    def step(acc: Column, word: Column) -> Column:
-        longer = F.when(acc["t"] == "", word).otherwise(F.concat_ws(" ", acc["t"], word))
-        stop = acc["full"] | (F.length(longer) > most - 3)
-        return F.struct(F.when(stop, acc["t"]).otherwise(longer).alias("t"), stop.alias("full"))
-
-    return F.aggregate(F.split(text, " "), start, step, lambda a: F.when(a["full"], F.concat(a["t"], F.lit("..."))).otherwise(a["t"]))
+def key_terms(text: str, first: str, stop: frozenset[str] = frozenset(STOP_WORDS)) -> list[str]:
+    """Up to three words of four letters or more that come twice and not in the first sentence, by count, then place."""
+    own = set(_WORD.findall(first.lower()))
+    counts = Counter(w for w in _WORD.findall(text.lower()) if len(w) > 3 and w not in stop and w not in own)
+    return [w for w, n in counts.most_common() if n > 1][:3]
 
 
-def gist(content: Column, most: int = 150) -> Column:
+def gist_of(content: str | None, most: int = 150) -> str | None:
     """The text if short; else its first sentence of more than 20 characters with key terms, or its first words."""
-    text = collapsed(content)
-    parts = sentences(text)
-    first = F.coalesce(F.get(F.filter(parts, lambda s: F.length(s) > 20), F.lit(0)), F.get(parts, F.lit(0)), text)
-    terms = key_terms(text, first)
-    joined = F.array_join(terms, ", ")
-    with_terms = F.when((F.size(terms) > 0) & (F.length(first) + F.length(joined) + 3 <= most), F.concat(first, F.lit(" ["), joined, F.lit("]"))).otherwise(first)
-    return F.when(F.length(text) <= most, text).when(F.length(first) <= most, with_terms).otherwise(key_phrase(text, most))
+    if content is None:
+        return None
+    text = " ".join(content.split())
+    if len(text) <= most:
+        return text
+    parts = [p for p in re.split(r"(?<=[.!?]) ", text) if p]
+    first = next((p for p in parts if len(p) > 20), parts[0])
+    if len(first) <= most:
+        terms = ", ".join(key_terms(text, first))
+        return f"{first} [{terms}]" if terms and len(first) + len(terms) + 3 <= most else first
+    kept = ""
+    for word in text.split(" "):
+        longer = f"{kept} {word}" if kept else word
+        if len(longer) > most - 3:
+            return kept + "..."
+        kept = longer
+    return kept
+
+
+@F.pandas_udf(T.StringType())
+def gist(content: pd.Series) -> pd.Series:
+    """Counting words by place has no built-in; whole Arrow batches go to Python."""
+    return content.map(gist_of, na_action="ignore")
 
 
 def tokens(text: Column) -> Column:
