@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemora.queries import graphs, locations, scalars, sessions, tables
+from mnemora.queries import graphs, locations, scalars, sessions, streams, tables
 
-_MODULES = (sessions, scalars, tables, graphs, locations)
+_MODULES = (sessions, scalars, tables, graphs, locations, streams)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
