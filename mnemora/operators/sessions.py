@@ -85,7 +85,9 @@ class SessionTable:
         if not parts:
             return
         low, high = min(r[1] for r in parts) - self.gap, max(r[2] for r in parts) + self.gap
-        near = {k: x for k, x in stored.items() if x["ended"] >= low and x["started"] <= high}
+        # affected: what a session of the batch may touch, and what shares a slice with one
+        own = {str(r[0]) for r in parts}
+        near = {k: x for k, x in stored.items() if k in own or x["ended"] >= low and x["started"] <= high}
         old = self._read("sessions", near, "key string, started_at bigint, ended_at bigint, events bigint")
         # a stored session is cut at the edges of the cells, so that what it covers meets it in its own cell
         cells = F.explode(F.sequence(F.shiftright("started_at", CELL_BITS), F.shiftright("ended_at", CELL_BITS)))
