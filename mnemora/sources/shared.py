@@ -7,8 +7,11 @@ where that setting is absent, as in tests on one machine.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="mnemora-")
         base = "file://" + _LOCAL[app]
-    return base.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)  # with its scheme, as workers read some tables themselves
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -42,6 +47,22 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, unless their Python path has it anyway."""
+    parent = Path(__file__).resolve().parents[2]
+    app = spark.sparkContext.applicationId
+    paths = {*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()}
+    if app in _SHIPPED or str(parent) in paths:
+        return
+    _SHIPPED.add(app)
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="mnemora-"), "mnemora_package"), "zip", parent, "mnemora")
+    spark.sparkContext.addPyFile(made)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of the data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
