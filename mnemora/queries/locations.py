@@ -244,6 +244,7 @@ ORACLES = {
     "visual_weights": _VI + f"select id, round({_W}, 6) weight, round(coalesce(significance, 0.5) * 0.2 + case when {_W} > 0.7 then ({_W} - 0.7) * 0.3 else 0 end, 6) boost from v where arousal is not null",
     "visual_retrieve": _VI + f", t as (select id, round(0.125 * (1 + {_W} - 0.5) * (1 + least(greatest((ln(greatest(n, 1) * pow(greatest(old * 86400, 1), -0.5)) + 10) / 10, 0), 1)) + 0.2 * significance + case when {_W} > 0.7 then ({_W} - 0.7) * 0.3 else 0 end, 6) total from v where arousal is not null and significance is not null and old >= 0) select id, total from t order by total desc, id limit 20",
     "visual_stats": _VI + "select media_type, source, count(*) n, round(avg(significance), 6) significance from v group by 1, 2",
+    "aggregate_frames": f"with v as {own_sql('visual_memories', 'video_id, objects, emotional_valence, emotional_arousal, significance')}, o as (select video_id, unnest(json_extract_string(objects, '$[*]')) o from v where json_valid(objects) and objects like '[%'), n as (select video_id, count(distinct lower(o)) objects from o group by 1) select v.video_id, round(avg(emotional_valence), 6) valence, round(avg(emotional_arousal), 6) arousal, greatest(max(significance), 0) significance, coalesce(max(n.objects), 0) objects from v left join n using (video_id) where video_id is not null group by 1",
     "scene_changes": _SC + "select video_id, frame_number, bits, scene, duplicate from sc",
     "scene_stats": _SC + "select video_id, count(*) frames, count(*) filter (where scene) scenes, count(*) filter (where duplicate) duplicates from sc group by 1",
     "scene_sizes": _SC + "select video_id, k, min(frame_number) first_frame, count(*) frames from sk group by 1, 2",

@@ -211,6 +211,7 @@ ORACLES = {
     "consolidation_status": _M + "select count(*) memories, count(*) filter (where encoding_strength < 0.1) weak, round(avg(encoding_strength), 6) mean_strength, count(*) filter (where consolidation_state = 'fresh') fresh from m",
     "store_stats": _M + f"select 'memories' what, count(*) n from m union all select 'embeddings', count(*) from {_VALID_EMB} union all select 'projects', count(distinct id) from projects union all select 'visual_memories', count(distinct id) from visual_memories union all select 'accesses', count(distinct id) from access_history union all select 'pending', count(*) from m where id not in (select memory_id from {_VALID_EMB})",
     "project_rollup": _M + f"select {_P} project, count(*) memories, count(distinct type) types, max(created_at) \"last\" from m where trim(project_id) <> '' and {_P} <> '' group by 1",
+    "project_rollup_tags": f"with m as {own_sql('memories', 'project_id, tags')}, t as (select {_P} project, unnest(json_extract_string(tags, '$[*]')) tag from m where {_P} <> '' and json_valid(tags) and tags like '[%') select project, count(distinct tag) tags from t where tag is not null group by 1",
     "project_upsert": _M + f"select distinct {_P} id from m where {_P} <> '' and {_P} not in (select lower(id) from projects where id is not null)",
     "forget_cascade": _M + f"select 'embeddings' what, count(*) n from {_VALID_EMB} where memory_id not in (select id from m where access_count = 0) union all select 'accesses', count(*) from {_HIS} where memory_id is null or memory_id not in (select id from m where access_count = 0)",
     "prune_oldest": _M + "select id from m order by coalesce(last_accessed, created_at) nulls first, access_count nulls first, id limit 1000",
