@@ -21,8 +21,11 @@ from mnemora.sources.shared import materialize
 
 #: Bits of the word table; dimensions of the vectors; levels of the tree; passes for each level.
 WORD_BITS, DIMS, LEVELS, PASSES = 16, 128, 7, 3
-#: Words a document needs to be judged; share of documents from which a word says nothing.
-LEAST_WORDS, COMMON, RARE = 12, 0.1, 3
+#: Words a document needs to be judged; documents that a word needs.
+LEAST_WORDS, RARE = 12, 3
+#: Share of documents from which a word's spread over the labelled subjects is judged (below it a few labelled documents
+#: can't tell), the lift up to which it is even, and the documents of the usual rate that each subject's rate is mixed with.
+JUDGED, EVEN, PRIOR = 0.1, 1.5, 20
 #: How far a word's leaning to a subject is sharpened, and the leaning from which it tells.
 SHARPEN, TELLING = 4, 0.7
 #: Labelled rows that the leaves' subjects and the threshold are fitted on at most.
@@ -159,10 +162,11 @@ class Corpus:
     """Counts, vectors and clusters of all documents; one pass over the texts each for the first two.
 
     Defined results: null and empty texts have no words and a vector of zeros; equal documents count each; extra
-    columns are ignored; an empty table has no words.
+    columns are ignored; an empty table has no words.  No word is left out for its share of the documents: one in many
+    of them keeps its low weight, unless ``labelled`` (doc_id, subjects) shows that all subjects have it alike.
     """
 
-    def __init__(self, documents: DataFrame):
+    def __init__(self, documents: DataFrame, labelled: DataFrame | None = None, names: list[str] | None = None):
         self.documents = documents.select("doc_id", "text").filter("doc_id is not null")
         self.spark = documents.sparkSession
 
@@ -180,7 +184,9 @@ class Corpus:
         self.total = int(n[slot < 0].sum())
         self.df = np.zeros(_WORDS, np.int64)
         self.df[slot[slot >= 0]] = n[slot >= 0]
-        telling = (self.df >= RARE) & (self.df <= max(RARE, COMMON * self.total))
+        telling = self.df >= RARE
+        if labelled is not None:
+            telling &= (self.df <= JUDGED * self.total) | ~even_words(*self.subject_words(labelled, names))
         self.rarity = np.where(telling, np.log(max(1, self.total) / np.maximum(self.df, 1)), 0.0).astype(np.float32)
         sent = self.spark.sparkContext.broadcast(self.rarity)
 
@@ -204,6 +210,35 @@ class Corpus:
         self.table = materialize(self.documents.mapInArrow(describe, f"doc_id {kind}, words int, slots binary, counts binary, vector binary"), "documents")
         self.tree = fit_tree(self.table.filter("octet_length(slots) > 0"), LEVELS, PASSES)
 
+    def subject_words(self, labelled: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Labelled documents of each subject, and of each slot and subject those that have the word.
+
+        The labelled documents are a bounded sample, so they are broadcast.
+        """
+        many = len(names)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place = {n: k for k, n in enumerate(names)}
+            table, sizes = np.zeros(_WORDS * many, np.int32), np.zeros(many, np.int64)
+            for part, n, text, slots in _batches(batches):
+                own = np.zeros((n, many), np.int64)
+                for k, subjects_ in enumerate(part.column(2).to_pylist()):
+                    own[k, [place[x] for x in subjects_]] = 1
+                sizes += own.sum(0)
+                t, s, _ = _sparse(n, text, slots)
+                pair, subject = np.nonzero(own[t])
+                table += np.bincount(s[pair] * many + subject, minlength=len(table)).astype(np.int32)
+            used = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([used, -1 - np.arange(many)]).astype(np.int32)), pa.array(np.concatenate([table[used], sizes]).astype(np.int64))], names=["cell", "n"])
+
+        rows = self.documents.join(F.broadcast(labelled), "doc_id").select("doc_id", "text", "subjects").mapInArrow(count, "cell int, n bigint")
+        rows = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # no more rows than the table has cells
+        cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
+        table, sizes = np.zeros(_WORDS * many), np.zeros(many)
+        table[cell[cell >= 0]] = n[cell >= 0]
+        sizes[-1 - cell[cell < 0]] = n[cell < 0]
+        return sizes, table.reshape(_WORDS, many)
+
     def leaf_words(self) -> tuple[np.ndarray, np.ndarray]:
         """Documents of each leaf, and of each slot and leaf those that have the word."""
         sent = self.spark.sparkContext.broadcast(self.tree)
@@ -230,6 +265,16 @@ class Corpus:
         return sizes, table.reshape(_WORDS, leaves)
 
 
+def even_words(sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which words no labelled subject has much more often than the subjects have on average, however large each is."""
+    sizes, table = sizes[sizes > 0], table[:, sizes > 0]
+    if len(sizes) < 2:
+        return np.zeros(len(table), bool)
+    usual = table.sum(1) / sizes.sum()
+    rate = (table + PRIOR * usual[:, None]) / (sizes + PRIOR)
+    return (usual > 0) & (rate.max(1) <= EVEN * rate.mean(1))
+
+
 def leanings(sizes: np.ndarray, table: np.ndarray, subjects_of_leaf: np.ndarray) -> np.ndarray:
     """How far each word leans to each subject, through the leaves that it is more frequent in; 0 where it doesn't tell."""
     rate = table / np.maximum(sizes, 1)[None, :]
@@ -275,10 +320,10 @@ def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, labelled
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, subject_id string, share double"
     names = sorted(r[0] for r in areas.select("subject_id").filter("subject_id is not null").distinct().collect())
-    corpus = Corpus(documents)
     pairs = labels.select("doc_id", "subject_id").filter("doc_id is not null").filter(F.col("subject_id").isin(names)).distinct()
     every = max(1, pairs.count() // labelled)
     chosen = pairs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).groupBy("doc_id").agg(F.collect_set("subject_id").alias("subjects"))
+    corpus = Corpus(documents, chosen, names)
     taught = corpus.table.join(chosen, "doc_id").filter("octet_length(slots) > 0").select("doc_id", "slots", "counts", "vector", "subjects").toArrow()
     if not taught.num_rows:
         return spark.createDataFrame([], schema)
