@@ -33,12 +33,13 @@ def should_prune(significance: Column, days: Column, pinned: Column, keyframe: C
     return ~pinned & ~keyframe & (((days > 90) & (significance < 0.2)) | ((days > 180) & (significance < 0.5)))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Bits in which two 64-bit hashes in hex differ."""
+def half(c: Column, start: int) -> Column:
+    """32 bits of a 64-bit hash in hex, from a place of its text on."""
+    return F.conv(F.substring(c, start, 8), 16, 10).cast("bigint")
 
-    def half(c: Column, start: int) -> Column:
-        return F.conv(F.substring(c, start, 8), 16, 10).cast("bigint")
 
+def hamming(a: Column, b: Column) -> Column:
+    """Bits in which two 64-bit hashes in hex differ."""
     return F.bit_count(half(a, 1).bitwiseXOR(half(b, 1))) + F.bit_count(half(a, 9).bitwiseXOR(half(b, 9)))
 
 

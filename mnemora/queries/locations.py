@@ -186,17 +186,20 @@ def even(spark, d):
 
 
 def scene_representatives(spark, d):
-    """Of each scene the frame nearest to all others of it; scenes longer than 200 frames are cut into such pieces."""
+    """Of each scene the frame with the least summed distance to all frames of it; ties go to the first.
+
+    A frame's sum follows from how many of the scene's frames have each of the 64 bits, so no pairs are made.  A scene is
+    one piece, however long it is.
+    """
     order = Window.partitionBy("video_id").orderBy("frame_number")
     f = scene_changes(spark, d).select("video_id", "frame_number", F.count_if("scene").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("k"))
     f = f.join(_frames(spark, d).select("video_id", "frame_number", "hash"), ["video_id", "frame_number"])
-    place = F.row_number().over(Window.partitionBy("video_id", "k").orderBy("frame_number")) - 1
-    f = f.withColumn("piece", F.floor(place / 200))
-    on = ["video_id", "k", "piece"]
-    other = f.select(*on, c("frame_number").alias("o"), c("hash").alias("oh"))
-    pairs = f.join(other, on).groupBy(*on, "frame_number").agg(F.sum(vis.hamming(c("hash"), c("oh"))).alias("bits"))
-    k = F.row_number().over(Window.partitionBy(*on).orderBy("bits", "frame_number"))
-    return pairs.withColumn("r", k).filter("r = 1").select(*on, "frame_number")
+    f = f.select("video_id", "k", "frame_number", vis.half(c("hash"), 1).alias("high"), vis.half(c("hash"), 9).alias("low"))
+    bits = [F.shiftright(half, b).bitwiseAND(1) for half in ("high", "low") for b in range(32)]
+    scenes = f.groupBy("video_id", "k").agg(F.count("*").alias("n"), *[F.sum(bit).alias(f"with{b}") for b, bit in enumerate(bits)])
+    far = sum((F.when(bit == 1, c("n") - c(f"with{b}")).otherwise(c(f"with{b}")) for b, bit in enumerate(bits)), F.lit(0))
+    near = f.join(scenes, ["video_id", "k"]).select("video_id", "k", F.struct(far.alias("bits"), "frame_number").alias("x"))
+    return near.groupBy("video_id", "k").agg(F.min("x").alias("x")).select("video_id", "k", F.lit(0).alias("piece"), "x.frame_number")
 
 
 def frame_prompt(spark, d):
