@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemora.sources.shared import materialize
+
 
 def even_frames(frames: DataFrame, most: int) -> DataFrame:
     """video_id, frame_number: every n-th frame, and the last, of each video; all of one with no more than ``most``."""
@@ -25,24 +24,19 @@ def select_frames(scores: DataFrame, most: int) -> DataFrame:
     ``scores`` has video_id, frame_number and score.  Frames are taken by score (ties by number) unless one nearer
     than the least gap is taken already; the gap is 1 for short videos and ``n / (2 most)`` for longer ones.
 
-    Of each stretch of ``gap`` frames only the few best can be chosen, so only the best ``most`` frames of the stretch
-    reach the greedy choice: that leaves a bounded number of rows of a video, however long it is.
+    Each of the few steps is an aggregate over all frames of all videos: the best frame that isn't near one taken before.
     """
     order = Window.partitionBy("video_id").orderBy("frame_number")
     f = scores.withColumn("i", F.row_number().over(order) - 1)
     n = scores.groupBy("video_id").agg(F.count("*").alias("n"))
-    f = f.join(n, "video_id").withColumn("gap", F.when(F.col("n") > 2 * most, F.floor(F.col("n") / (2 * most))).otherwise(1))
-    stretch = Window.partitionBy("video_id", F.floor(F.col("i") / F.col("gap"))).orderBy(F.desc("score"), "i")
-    f = f.withColumn("r", F.row_number().over(stretch)).filter((F.col("r") <= most) | (F.col("i") == 0) | (F.col("i") == F.col("n") - 1))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        gap, total = int(pdf["gap"].iloc[0]), int(pdf["n"].iloc[0])
-        taken = [0, total - 1][: min(total, 2)] if most >= 2 else []
-        for i in pdf.sort_values(["score", "i"], ascending=[False, True])["i"]:
-            if len(taken) >= most:
-                break
-            if all(abs(i - t) >= gap for t in taken):
-                taken.append(i)
-        return pdf.loc[pdf["i"].isin(taken), ["video_id", "frame_number"]].sort_values("frame_number")
-
-    return f.select("video_id", "frame_number", "score", "i", "n", "gap").groupBy("video_id").applyInPandas(choose, "video_id string, frame_number int")
+    gap = F.when(F.col("n") > 2 * most, F.floor(F.col("n") / (2 * most))).otherwise(1)
+    f = f.join(n, "video_id").select("video_id", "frame_number", F.nanvl(F.col("score").cast("double"), F.lit(None)).alias("score"), "i", "n", gap.alias("gap"))
+    f = materialize(f, "frames")  # each step reads it
+    ends = F.array_distinct(F.array(F.lit(0).cast("bigint"), F.col("n") - 1)) if most >= 2 else F.array().cast("array<bigint>")
+    taken = n.select("video_id", ends.alias("taken"))
+    free = F.forall("taken", lambda t: F.abs(F.col("i") - t) >= F.col("gap"))
+    for _ in range(min(most, 1) if most < 2 else most - 2):
+        best = F.max(F.when(free, F.struct("score", (-F.col("i")).cast("bigint").alias("m")))).alias("best")
+        taken = f.join(taken, "video_id").groupBy("video_id", "taken").agg(best)
+        taken = taken.select("video_id", F.when(F.col("best").isNull(), F.col("taken")).otherwise(F.concat("taken", F.array(-F.col("best.m")))).alias("taken"))
+    return f.join(taken, "video_id").filter(F.array_contains("taken", F.col("i").cast("bigint"))).select("video_id", F.col("frame_number").cast("int").alias("frame_number"))
