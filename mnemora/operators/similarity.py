@@ -11,11 +11,12 @@ from mnemora.functions.vector import cosine, norm
 BLOCK_BYTES = 64_000_000
 
 
-def best_match(queries: DataFrame, rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def best_match(queries: DataFrame, rows: DataFrame, block_bytes: int = BLOCK_BYTES, others: bool = False) -> DataFrame:
     """id, match, s: the most similar row of each query; ties go to the smaller id.
 
     Both tables have id and v.  The queries' size is counted first; each block of them is broadcast to all rows, whose
     norms are computed once a row.  A query with a null vector has no match; an empty table gives no rows.
+    With ``others`` a query's own id isn't among its matches.
     """
     size = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, -(-(size[0] or 0) * 4 * max(1, size[1] or 0) // block_bytes))
@@ -23,6 +24,8 @@ def best_match(queries: DataFrame, rows: DataFrame, block_bytes: int = BLOCK_BYT
     for k in range(blocks):
         q = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id", F.col("v").alias("qv"), norm(F.col("v")).alias("qn"))
         pairs = rows.select(F.col("id").alias("match"), "v").crossJoin(F.broadcast(q)).select("id", "match", cosine(F.col("v"), F.col("qv"), F.col("qn")).alias("s"))
+        if others:
+            pairs = pairs.filter("match <> id")
         one = pairs.filter("s is not null").groupBy("id").agg(F.max(F.struct("s", (-F.col("match")).alias("m"))).alias("b"))
         best = one if best is None else best.unionByName(one)
     return best.select("id", (-F.col("b.m")).alias("match"), F.col("b.s").alias("s"))
