@@ -155,7 +155,7 @@ def _events(spark, d):
 
 
 def _episodes(spark, d):
-    return episodes(_events(spark, d), gap_ms=7_200_000, most=5)
+    return episodes(_events(spark, d), gap_ms=7_200_000)
 
 
 def episode_sizes(spark, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mnemora.config import EPISODE
 from mnemora.operators.sessions import SessionTable
 from mnemora.queries.base import millis
 from mnemora.sources.shared import new_path
@@ -30,7 +31,7 @@ def stream_sessions(spark, d):
 def stream_episodes(spark, d):
     e = read_stream(spark, d, "events").select(c("user_id").alias("key"), c("event_id").alias("id"), millis("ts").alias("at"))
     path = new_path(spark, "episodes")
-    episode_stream(e, path, 7_200_000, 5)
+    episode_stream(e, path, 7_200_000, EPISODE["most_events"])
     return spark.read.parquet(path).groupBy("key", "episode").agg(F.count("*").alias("n"), F.min("at").alias("started"), F.max("at").alias("ended")).drop("episode")
 
 
