@@ -77,10 +77,10 @@ def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cut_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from mnemora.llm.truncation import ODDS, cut_texts
+    from mnemora.llm.truncation import cut_texts
 
     odds = cut_texts(read_table(spark, sf_dir, "memories").select("id", "source", F.col("content").alias("text")))
-    return odds.select("id", "source", (F.col("odds") >= ODDS).alias("cut")).filter("id is not null")
+    return odds.select("id", "source", "cut").filter("id is not null")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

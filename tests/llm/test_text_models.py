@@ -3,7 +3,7 @@ import random
 from mnemora.llm.examples import SENTENCES, Filler
 from mnemora.llm.personal import Detector, personal_data, train
 from mnemora.llm.subjects import subjects
-from mnemora.llm.truncation import ODDS, cut_texts
+from mnemora.llm.truncation import cut_texts
 
 PEOPLE = [("Alda", "Brookwell"), ("Corin", "Danesby"), ("Elvira", "Fenwick"), ("Garron", "Hollis"), ("Ines", "Jarrow"), ("Kelda", "Lindqvist")]
 
@@ -47,10 +47,10 @@ def test_cut_texts(spark):
     rows = [(f"w{k}", t, "rpc") for k, t in enumerate(whole)] + [(f"c{k}", t, "hook") for k, t in enumerate(cut)] + [(f"h{k}", t, "hook") for k, t in enumerate(_notes(300, 3))]
     rows += [("n", None, None), ("e", "", "hook"), ("s", "ok", "hook"), ("l", "We moved it. " * 20_000, None)]
     df = spark.createDataFrame([(*x, 0.0) for x in rows], "id string, text string, source string, odds double")
-    odds = {r.id: r.odds for r in cut_texts(df).collect()}
-    assert len(odds) == len(rows) and odds["n"] == odds["e"] == odds["s"] == 0
-    hits = sum(odds[f"c{k}"] >= ODDS for k in range(len(cut)))
-    wrong = sum(v >= ODDS for k, v in odds.items() if k[0] != "c")
+    got = {r.id: r for r in cut_texts(df).collect()}
+    assert len(got) == len(rows) and got["n"].odds == got["e"].odds == 0
+    hits = sum(got[f"c{k}"].cut for k in range(len(cut)))
+    wrong = sum(r.cut for k, r in got.items() if k[0] != "c")
     assert hits >= 0.9 * len(cut) and wrong <= 0.02 * len(whole)
     assert cut_texts(df.filter("false")).count() == 0
 
