@@ -24,3 +24,9 @@ def unit(a: Column) -> Column:
     """The vector at length one; an all-zero vector stays as it is."""
     size = norm(a)
     return F.when(size == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / size))
+
+
+def usable(a: Column, dims: Column | int) -> Column:
+    """Whether a vector has the right length, finite numbers only, and isn't all zero."""
+    size = norm(a)
+    return F.coalesce((F.size(a) == dims) & (size > 0) & ~F.isnan(size) & (size < float("inf")), F.lit(False))

@@ -12,6 +12,11 @@ def emotional_weight(arousal: Column) -> Column:
     return 0.5 + clamp(arousal, 0.0, 1.0)
 
 
+def boost(significance: Column, weight: Column) -> Column:
+    """What significance and a strong emotion add to the activation of a visual memory."""
+    return significance * 0.2 + F.when(weight > 0.7, (weight - 0.7) * 0.3).otherwise(0.0)
+
+
 def significant(arousal: Column, valence: Column, threshold: float = 0.7) -> Column:
     return (arousal > threshold) | (F.abs(valence) > threshold)
 

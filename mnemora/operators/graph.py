@@ -6,16 +6,18 @@ stay short and a lost executor costs one stretch of hops.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.sources.shared import materialize
 
 
-def spread(seeds: DataFrame, edges: DataFrame, depth: int, decay: float = 0.7, least: float = 0.01) -> DataFrame:
-    """id, a: activation after ``depth`` hops.
+def spread(seeds: DataFrame, edges: DataFrame, depth: int, decay: float = 0.7, least: float = 0.01, by: Sequence[str] = ()) -> DataFrame:
+    """id, a: activation after ``depth`` hops, of every group of ``by`` columns (a probe, say) apart.
 
-    ``seeds`` has id and a, ``edges`` src, dst, w, bw.  A node sends ``a / fan * w * decay`` forward and
+    ``seeds`` has id and a (and ``by``), ``edges`` src, dst, w, bw.  A node sends ``a / fan * w * decay`` forward and
     ``a / fan_in * bw * decay ** 2`` backward, once, in the hop after it was reached, with the activation it had at
     the hop's start, if that is ``least`` or more; contributions to nodes reached before count too.  Nodes without
     edges keep their activation; nulls in an edge's ends join nothing; parallel edges count each.
@@ -25,14 +27,14 @@ def spread(seeds: DataFrame, edges: DataFrame, depth: int, decay: float = 0.7, l
     forward = edges.join(fan, "src").select(F.col("src").alias("id"), F.col("dst").alias("to"), (F.col("w") / F.col("fan") * decay).alias("k"))
     backward = edges.join(fan_in, "dst").select(F.col("dst").alias("id"), F.col("src").alias("to"), (F.col("bw") / F.col("fan_in") * decay * decay).alias("k"))
     links = materialize(forward.unionByName(backward), "links") if depth > 1 else forward.unionByName(backward)
-    state = seeds.select("id", F.col("a").cast("double").alias("a"), F.lit(0).alias("hop"))
+    state = seeds.select(*by, "id", F.col("a").cast("double").alias("a"), F.lit(0).alias("hop"))
     for hop in range(depth):
         sent = state.filter((F.col("hop") == hop) & (F.col("a") >= least)).join(links, "id")
-        got = sent.groupBy(F.col("to").alias("id")).agg(F.sum(F.col("a") * F.col("k")).alias("more"))
-        state = state.join(got, "id", "full").select("id", (F.coalesce("a", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("a"), F.coalesce("hop", F.lit(hop + 1)).alias("hop"))
+        got = sent.groupBy(*by, F.col("to").alias("id")).agg(F.sum(F.col("a") * F.col("k")).alias("more"))
+        state = state.join(got, [*by, "id"], "full").select(*by, "id", (F.coalesce("a", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("a"), F.coalesce("hop", F.lit(hop + 1)).alias("hop"))
         if hop % 3 == 1 and hop < depth - 1:
             state = materialize(state, "spread")
-    return state.select("id", "a")
+    return state.select(*by, "id", "a")
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:

@@ -1,31 +1,175 @@
-"""Exact best matches of a stated query set."""
+"""Exact best matches of a stated query set, by matrix products over Arrow batches.
+
+Queries are sent to all tasks in blocks of a bounded size; each task keeps the best few rows of each query over all of
+its batches, so what is shuffled is that few times the queries and tasks, however many rows there are.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemora.functions.vector import cosine, norm
+from mnemora.sources.shared import ship
 
-#: Bytes of query vectors that are broadcast at once; larger sets are searched in blocks.
+#: Bytes of query vectors (as double) that are sent at once; rows and queries of one matrix product.
 BLOCK_BYTES = 64_000_000
+_ROWS, _QUERIES = 4_096, 1_024
+_PLACES = 12
+
+
+def _matrix(vectors: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors that have ``size`` finite numbers, not all zero, and these at length one."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    lengths = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    right = np.flatnonzero(lengths == size)
+    if not len(right) or not size:
+        return right[:0], np.empty((0, size))
+    flat = vectors.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    norms = np.sqrt((flat * flat).sum(1))
+    good = np.isfinite(norms) & (norms > 0)
+    return right[good], flat[good] / norms[good, None]
+
+
+def _ranks(ids: list) -> np.ndarray:
+    order = {x: k for k, x in enumerate(sorted(set(ids)))}
+    return np.fromiter((order[x] for x in ids), np.int64, len(ids))
+
+
+class _Best:
+    """The ``k`` best rows of each query so far, ties by the smaller id."""
+
+    def __init__(self, k: int):
+        self.k, self.query, self.score, self.ids = k, np.empty(0, np.int64), np.empty(0), []
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: list) -> None:
+        self.query, self.score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
+        self.ids.extend(ids)
+
+    def settle(self) -> None:
+        if not len(self.query):
+            return
+        order = np.lexsort((_ranks(self.ids), -self.score, self.query))
+        q = self.query[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        kept = order[place < self.k]
+        self.query, self.score, self.ids = self.query[kept], self.score[kept], [self.ids[i] for i in kept]
+
+
+def activation_score(cosines: np.ndarray, base: np.ndarray, emotion: np.ndarray) -> np.ndarray:
+    """A memory's own activation for each query: cubed cosine by emotion and recency."""
+    recency = np.clip((base + 10.0) / 10.0, 0.0, 1.0)
+    return np.minimum(cosines, 1.0) ** 3 * (1.0 + emotion - 0.5) * (1.0 + recency)
+
+
+def top_matches(queries: DataFrame, rows: DataFrame, k: int = 1, others: bool = False, score=None, extra: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """query, id, s, rank: the ``k`` best rows of each query, by cosine or by ``score(cosines, *extra columns)``.
+
+    ``queries`` has id and v, ``rows`` id, v and the ``extra`` double columns.  Scores are rounded to 12 places; ties
+    go to the smaller id.  Vectors that are null, damaged, all zero or of another length than the query's match
+    nothing.  With ``others`` a query's own id isn't among its matches.
+    """
+    ship(rows.sparkSession)
+    context = rows.sparkSession.sparkContext
+    q = queries.select("id", "v").filter("id is not null and v is not null")
+    sizes = q.groupBy(F.size("v").alias("size")).count().collect()  # one row for each length of vector
+    kinds = dict(queries.dtypes)["id"], dict(rows.dtypes)["id"]
+    schema = f"query {kinds[0]}, id {kinds[1]}, s double"
+    chosen = rows.select("id", "v", *[F.col(c).cast("double").alias(c) for c in extra]).filter("id is not null and v is not null")
+    found = None
+    for size, n in sorted((r["size"], r["count"]) for r in sizes):
+        if size < 1:
+            continue
+        blocks = -(-n * 8 * size // block_bytes)
+        for b in range(blocks):
+            own = q.filter(F.size("v") == size)
+            part = (own if blocks == 1 else own.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).toArrow()  # a block of bounded size
+            places, matrix = _matrix(part.column("v"), size)
+            names = part.column("id").take(pa.array(places)).combine_chunks()
+            sent = context.broadcast((names, matrix))
+
+            def search(batches: Iterator[pa.RecordBatch], sent=sent, size=size) -> Iterator[pa.RecordBatch]:
+                names, matrix = sent.value
+                own_ids, best = names.to_pylist(), _Best(k + 1 if others else k)
+                for batch in batches:
+                    places, vectors = _matrix(batch.column(1), size)
+                    if not len(places):
+                        continue
+                    ids = batch.column(0).take(pa.array(places)).to_pylist()
+                    more = [batch.column(2 + j).to_numpy(zero_copy_only=False)[places] for j in range(len(extra))]
+                    for r in range(0, len(places), _ROWS):
+                        for at in range(0, len(matrix), _QUERIES):
+                            s = matrix[at : at + _QUERIES] @ vectors[r : r + _ROWS].T
+                            if score is not None:
+                                s = score(s, *[x[None, r : r + _ROWS] for x in more])
+                            s = np.round(s, _PLACES)
+                            kept = min(best.k, s.shape[1])
+                            least = -np.partition(-s, kept - 1, axis=1)[:, kept - 1 : kept]
+                            where = np.nonzero(s >= least)
+                            best.add(where[0] + at, s[where], [ids[r + j] for j in where[1]])
+                    if len(best.query) > 4 * best.k * len(matrix):
+                        best.settle()
+                best.settle()
+                keep = [not others or own_ids[i] != x for i, x in zip(best.query, best.ids)]
+                best.query, best.score, best.ids = best.query[keep], best.score[keep], [x for x, y in zip(best.ids, keep) if y]
+                if len(best.query):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(best.query)), pa.array(best.ids, batch.schema.field(0).type), pa.array(best.score)], names=["query", "id", "s"])
+
+            one = chosen.filter(F.size("v") == size).mapInArrow(search, schema)
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], schema + ", rank int")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def best_match(queries: DataFrame, rows: DataFrame, block_bytes: int = BLOCK_BYTES, others: bool = False) -> DataFrame:
     """id, match, s: the most similar row of each query; ties go to the smaller id.
 
-    Both tables have id and v.  The queries' size is counted first; each block of them is broadcast to all rows, whose
-    norms are computed once a row.  A query with a null vector has no match; an empty table gives no rows.
-    With ``others`` a query's own id isn't among its matches.
+    Both tables have id and v.  A query with a null or damaged vector has no match; an empty table gives no rows.  With
+    ``others`` a query's own id isn't among its matches.
     """
-    size = queries.agg(F.count("*"), F.max(F.size("v"))).first()
-    blocks = max(1, -(-(size[0] or 0) * 4 * max(1, size[1] or 0) // block_bytes))
-    best = None
-    for k in range(blocks):
-        q = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id", F.col("v").alias("qv"), norm(F.col("v")).alias("qn"))
-        pairs = rows.select(F.col("id").alias("match"), "v").crossJoin(F.broadcast(q)).select("id", "match", cosine(F.col("v"), F.col("qv"), F.col("qn")).alias("s"))
-        if others:
-            pairs = pairs.filter("match <> id")
-        one = pairs.filter("s is not null").groupBy("id").agg(F.max(F.struct("s", (-F.col("match")).alias("m"))).alias("b"))
-        best = one if best is None else best.unionByName(one)
-    return best.select("id", (-F.col("b.m")).alias("match"), F.col("b.s").alias("s"))
+    return top_matches(queries, rows, 1, others, block_bytes=block_bytes).select(F.col("query").alias("id"), F.col("id").alias("match"), "s")
+
+
+def recent_matches(rows: DataFrame, within_ms: int, least: float, k: int, chunk: int = 512) -> DataFrame:
+    """src, dst, s: of each row its ``k`` most similar ones of the same key made less than ``within_ms`` before it.
+
+    ``rows`` has key, id, at and v.  Rows meet in slots of ``within_ms``, each slot cut into chunks of at most about
+    ``chunk`` rows; pairs of chunks, not of rows, are joined, and each is one matrix product that keeps ``k`` rows of
+    each query.  So no task holds a slot, however many rows it has.  Cosines under ``least`` don't count; ties go to
+    the smaller id; rows with a null or a damaged vector, and those made at the same instant, don't match.
+    """
+    ship(rows.sparkSession)
+    r = rows.select("key", "id", "at", "v").filter("key is not null and id is not null and at is not null and v is not null").withColumn("slot", F.floor(F.col("at") / within_ms))
+    n = r.groupBy("key", "slot").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    r = r.join(n, ["key", "slot"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    chunks = r.groupBy("key", "slot", "part").agg(F.collect_list("id").alias("ids"), F.collect_list("at").alias("ats"), F.collect_list("v").alias("vs"))
+    late = chunks.select("key", F.col("ids").alias("a"), F.col("ats").alias("ta"), F.col("vs").alias("va"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
+    early = chunks.select("key", "slot", F.col("ids").alias("b"), F.col("ats").alias("tb"), F.col("vs").alias("vb"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, ta, va, b, tb, vb in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+                best = _Best(k)
+                for size in {len(x) for x in va}:
+                    pa_, qa = _matrix(pa.array(va, pa.list_(pa.float64())), size)
+                    pb, qb = _matrix(pa.array(vb, pa.list_(pa.float64())), size)
+                    if not len(pa_) or not len(pb):
+                        continue
+                    gap = np.array(ta)[pa_][:, None] - np.array(tb)[pb][None, :]
+                    s = np.where((gap > 0) & (gap < within_ms), np.round(qa @ qb.T, _PLACES), -2.0)
+                    where = np.nonzero(s >= least)
+                    best.add(pa_[where[0]], s[where], [b[pb[j]] for j in where[1]])
+                best.settle()
+                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in best.query], batch.schema.field(0).type.value_type), pa.array(best.ids, batch.schema.field(3).type.value_type), pa.array(best.score)], names=["src", "dst", "s"])
+
+    kind = dict(rows.dtypes)["id"]
+    found = late.join(early, ["key", "slot"]).select("a", "ta", "va", "b", "tb", "vb").mapInArrow(compare, f"src {kind}, dst {kind}, s double")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("s"), "dst"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")

@@ -59,9 +59,9 @@ def f_memories(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"))
     h = f_history(spark, d).groupBy("id").agg(base_level(NOW_F - F.col("t")).alias("b"), F.count("*").alias("accesses"), F.max("t").alias("last"), F.min("t").alias("first"))
     kinds = F.array(*[F.lit(x) for x in ("learning", "decision", "context", "bug", "solution", "conversation")])
-    df = e.join(docs, "id").join(h, "id", "left").crossJoin(F.broadcast(f_probe(spark, d)))  # one probe
+    df = e.join(docs, "id", "left").join(h, "id", "left").crossJoin(F.broadcast(f_probe(spark, d)))  # one probe
     return df.select(
-        "id", "content", F.get(kinds, (F.col("id") % 6).cast("int")).alias("type"), ((F.col("id") % 11) / 10.0).alias("emotion"), F.col("label").alias("project"),
+        "id", F.coalesce("content", F.lit("")).alias("content"), F.get(kinds, (F.col("id") % 6).cast("int")).alias("type"), ((F.col("id") % 11) / 10.0).alias("emotion"), F.col("label").alias("project"),
         (0.3 + 0.7 * (F.col("id") % 8) / 7.0).alias("strength"), cosine(F.col("v"), F.col("pv")).alias("s"), F.coalesce("b", F.lit(-10.0)).alias("b"),
         F.coalesce("accesses", F.lit(0)).alias("accesses"), "last", "first",
     )
@@ -96,4 +96,4 @@ hb as (select id, ln(sum(pow(greatest(({NOW_F} - t) / 1000.0::double, 1.0::doubl
 mem as (select vec_id id, coalesce(text, '') content, (['learning','decision','context','bug','solution','conversation'])[vec_id % 6 + 1] type,
   (vec_id % 11) / 10.0::double emotion, label project, 0.3::double + 0.7::double * (vec_id % 8) / 7.0::double strength,
   {sql_cosine('embedding', 'pv')} s, coalesce(hb.b, -10.0::double) b, coalesce(hb.accesses, 0) accesses, hb.last, hb.first
-  from embeddings join documents on vec_id = doc_id left join hb on hb.id = vec_id, p_)"""
+  from embeddings left join documents on vec_id = doc_id left join hb on hb.id = vec_id, p_)"""

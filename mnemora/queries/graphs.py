@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mnemora.config import CORE, EPISODE, SERVER, RetrievalConfig
+from mnemora.config import CORE, SERVER
 from mnemora.functions import activation as act
 from mnemora.functions.text import tokens
-from mnemora.functions.vector import cosine
-from mnemora.operators.episodes import episodes, links
+from mnemora.operators.cells import numbered
 from mnemora.operators.graph import pagerank, shortest_path, spread
 from mnemora.operators.retrieval import retrieve, within_budget
-from mnemora.operators.similarity import best_match
-from mnemora.queries.base import F_EDGES, F_MEM, NOW_F, PROBE, f_edges, f_embeddings, f_history, f_memories, millis, read_table, sql_cosine
+from mnemora.operators.sessions import clean_key
+from mnemora.operators.similarity import best_match, recent_matches, top_matches
+from mnemora.queries.base import F_EDGES, F_MEM, NOW_F, PROBE, f_edges, f_embeddings, f_history, f_memories, millis, own, own_sql, read_table, sql_cosine, sql_dot
 
 c = F.col
 r6 = lambda x: F.round(x, 6)
@@ -97,32 +97,22 @@ def rank_by_activation(spark, d):
 
 
 def context_budget(spark, d):
-    """The ten best that are similar enough, as long as they fit in 2,000 tokens."""
+    """The ten best that are similar by 0.3 or more, as long as they fit in 2,000 tokens."""
     m = f_memories(spark, d)
-    best = retrieve(m).join(m.select("id", "s", "content"), "id").filter("s >= 0.05").select("id", "total", tokens(c("content")).alias("tokens"))
+    best = retrieve(m).join(m.select("id", "s", "content"), "id").filter("s >= 0.3").select("id", "total", tokens(c("content")).alias("tokens"))
     return within_budget(best, 2000, [F.desc("total"), "id"]).select("id", "tokens", "running")
 
 
-def retrieve_server(spark, d):
-    """Core ranking with the server's noise by encoding strength, twice as many rows, and a boost for this session's."""
-    m = f_memories(spark, d)
-    top = retrieve(m, f_edges(spark, d), RetrievalConfig(threshold=0.0, noise=0.25, limit=20))
-    more = top.join(m.select("id", "strength", "last"), "id")
-    p = act.probability(c("total"), 0.0, act.instance_noise(c("strength")))
-    score = c("total") * F.when(c("last") >= NOW_F - 3 * 86_400_000, 1.5).otherwise(1.0)
-    return more.select("id", score.alias("score"), p.alias("p")).orderBy(F.desc("score"), "id").limit(10).select("id", r6(c("score")).alias("score"), r6(c("p")).alias("p"))
-
-
 def salience_rank(spark, d):
     return f_memories(spark, d).filter("last is not null").select("id", F.pow(F.lit(2.0), -(NOW_F - c("last")) / 86_400_000.0).alias("x")).orderBy(F.desc("x"), "id").limit(10).select("id", r6(c("x")).alias("x"))
 
 
 def reinforce_top5(spark, d):
-    """Associations between two of the five best memories, in whatever direction, made stronger."""
-    top = retrieve(f_memories(spark, d)).orderBy(F.desc("total"), "id").limit(5).select("id")
+    """Associations between two of a probe's five best memories, in whatever direction, made stronger by 0.05."""
+    best = top_matches(f_embeddings(spark, d).filter("id % 20 = 0"), f_embeddings(spark, d), 5).select("query", "id")
     e = f_edges(spark, d)
-    e = e.join(top.withColumnRenamed("id", "src"), "src", "left_semi").join(top.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return e.select("src", "dst", r6(act.reinforced(c("w"))).alias("w"))
+    ends = best.select("query", c("id").alias("src")).join(e, "src").join(best.select("query", c("id").alias("dst")), ["query", "dst"])
+    return ends.select("src", "dst", r6(act.reinforced(c("w"))).alias("w")).distinct()
 
 
 def association_index(spark, d):
@@ -131,7 +121,14 @@ def association_index(spark, d):
 
 
 def prune_associations(spark, d):
-    return f_edges(spark, d).filter("w >= 0.3").select("src", "dst", r6(c("w")).alias("w"))
+    """Associations that keep at least 0.1 after a month's decay as consolidated ones."""
+    kept = act.association_decay(c("w"), F.lit(30.0 * 86_400_000), F.lit("consolidated"))
+    return f_edges(spark, d).select("src", "dst", r6(kept).alias("w"), kept.alias("x")).filter("x >= 0.1").drop("x")
+
+
+def associations_of(spark, d):
+    """Both kinds of neighbours of a node: edges from it and to it."""
+    return f_edges(spark, d).filter((c("src") == 20) | (c("dst") == 20)).select("src", "dst", r6(c("w")).alias("w"))
 
 
 def location_assoc_stats(spark, d):
@@ -146,70 +143,41 @@ def ndcg_mrr(spark, d):
     ideal = f_memories(spark, d).select((c("project") % 4).alias("rel"), "id").orderBy(F.desc("rel"), "id").limit(10)
     ideal = ideal.withColumn("k", F.row_number().over(Window.orderBy(F.desc("rel"), "id")))
     gain = (F.pow(F.lit(2.0), c("rel")) - 1) / F.log2(c("k") + 1.0)
-    a = ranked.agg(F.sum(gain).alias("dcg"), F.max(F.when(c("rel") > 0, 1.0 / c("k")).otherwise(0.0)).alias("mrr"), (F.count_if(c("rel") > 0) / 10.0).alias("p"))
-    return a.crossJoin(ideal.agg(F.sum(gain).alias("best"))).select(r6(c("dcg") / c("best")).alias("ndcg"), r6(c("mrr")).alias("mrr"), r6(c("p")).alias("p"))  # one row each
+    a = ranked.agg(F.sum(gain).alias("dcg"), F.max(F.when(c("rel") > 0, 1.0 / c("k")).otherwise(0.0)).alias("mrr"), (F.count_if(c("rel") > 0) / 10.0).alias("p"), F.count_if(c("rel") > 0).alias("hits"))
+    every = f_memories(spark, d).agg(F.count_if(c("project") % 4 > 0).alias("relevant"))
+    return a.crossJoin(ideal.agg(F.sum(gain).alias("best"))).crossJoin(every).select(r6(c("dcg") / c("best")).alias("ndcg"), r6(c("mrr")).alias("mrr"), r6(c("p")).alias("p"), r6(c("hits") / c("relevant")).alias("r"))  # one row each
 
 
 def _events(spark, d):
     return read_table(spark, d, "events").select(c("user_id").alias("key"), c("event_id").alias("id"), millis("ts").alias("at"))
 
 
-def _episodes(spark, d):
-    return episodes(_events(spark, d), gap_ms=7_200_000)
-
-
-def episode_sizes(spark, d):
-    return _episodes(spark, d).groupBy("key", "run", "part").agg(F.count("*").alias("n"), F.min("at").alias("started"), F.max("at").alias("ended"))
-
-
-def episode_links(spark, d):
-    return links(_episodes(spark, d)).select("src", "dst", "distance", r6(c("forward")).alias("forward"), r6(c("backward")).alias("backward"))
-
-
-def temporal_spread(spark, d):
-    """Activation that seeds give to what came before and after them in their episode; each keeps its own."""
-    seeds = read_table(spark, d, "events").filter("event_type = 'purchase'").select(c("event_id").alias("seed"))
-    e = links(_episodes(spark, d))
-    both = e.select(c("src").alias("seed"), c("dst").alias("id"), c("forward").alias("w")).union(e.select(c("dst").alias("seed"), c("src").alias("id"), c("backward").alias("w")))
-    got = both.join(seeds, "seed").select("id", (EPISODE["boost"] * c("w")).alias("a")).union(seeds.select(c("seed").alias("id"), F.lit(1.0).alias("a")))
-    return got.groupBy("id").agg(r6(F.max("a")).alias("a"))
-
-
-def temporal_neighbors(spark, d):
-    """The three nearest events after each anchor."""
-    e = links(_episodes(spark, d))
-    k = F.row_number().over(Window.partitionBy("src").orderBy("distance", F.desc("forward"), "dst"))
-    return e.withColumn("k", k).filter("k <= 3").select("src", "dst", "k")
-
-
 def sessions_users(spark, d):
-    order = Window.partitionBy("key").orderBy("at", "id")
-    e = _events(spark, d).withColumn("s", F.when(c("at") - F.lag("at").over(order) < 1_800_000, 0).otherwise(1))
-    e = e.withColumn("k", F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.groupBy(c("key").alias("user_id"), c("k").alias("session")).agg(F.min("at").alias("started"), F.max("at").alias("ended"), F.count("*").alias("n"))
+    """Sessions of each user, and when each ended: a lapsed one as the next began, the last one isn't ended."""
+    e = numbered(_events(spark, d), ["key"], ["at", "id"], F.shiftright("at", 27), lambda before, this: this("at") - before("at") >= 1_800_000)
+    s = e.groupBy(c("key").alias("user_id"), c("run").alias("session")).agg(F.min("at").alias("started"), F.max("at").alias("last_active"), F.count("*").alias("n"))
+    after = s.select("user_id", (c("session") - 1).alias("session"), c("started").alias("ended"))
+    return s.join(after, ["user_id", "session"], "left")
 
 
 def session_memories(spark, d):
-    """Memories that were accessed during each session of each user; sessions and accesses meet in hours."""
-    s = sessions_users(spark, d)
-    hours = F.explode(F.sequence(F.floor(c("started") / 3_600_000), F.floor(c("ended") / 3_600_000)))
-    h = f_history(spark, d).withColumn("hour", F.floor(c("t") / 3_600_000))
-    return h.join(s.withColumn("hour", hours), "hour").filter((c("t") >= c("started")) & (c("t") <= c("ended"))).select("user_id", "session", "id").distinct()
+    """Memories that a user accessed during each of the user's sessions; both meet by user and hour."""
+    s = sessions_users(spark, d).select("user_id", "session", "started", "last_active")
+    hours = F.explode(F.sequence(F.floor(c("started") / 3_600_000), F.floor(c("last_active") / 3_600_000)))
+    n = f_embeddings(spark, d).agg(F.count("*").alias("n"))
+    h = _events(spark, d).crossJoin(F.broadcast(n)).select(c("key").alias("user_id"), (c("id") % c("n")).alias("id"), c("at").alias("t"), F.floor(c("at") / 3_600_000).alias("hour"))  # one row on the right
+    return h.join(s.withColumn("hour", hours), ["user_id", "hour"]).filter((c("t") >= c("started")) & (c("t") <= c("last_active"))).select("user_id", "session", "id").distinct()
 
 
 def expired_sessions(spark, d):
-    return sessions_users(spark, d).filter(c("ended") < NOW_F - 14 * 86_400_000).groupBy("user_id").agg(F.count("*").alias("n"))
+    return sessions_users(spark, d).filter(c("ended") < NOW_F - 7 * 86_400_000).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 def auto_associations(spark, d):
-    """Of each memory, the five most similar ones made within 30 minutes before it, in the same project."""
-    m = f_embeddings(spark, d).select("id", "v", (c("label") % 4).alias("p"), (c("id") * 97_000).alias("at"))
-    m = m.withColumn("slot", F.floor(c("at") / 1_800_000))
-    a = m.select(c("id").alias("src"), c("v").alias("va"), "p", c("at").alias("ta"), F.explode(F.array(c("slot"), c("slot") - 1)).alias("slot"))
-    b = m.select(c("id").alias("dst"), c("v").alias("vb"), "p", c("at").alias("tb"), "slot")
-    s = a.join(b, ["p", "slot"]).filter((c("tb") < c("ta")) & (c("ta") - c("tb") <= 1_800_000)).select("src", "dst", cosine(c("va"), c("vb")).alias("s")).filter("s >= 0.1")
-    k = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("s"), "dst"))
-    return s.withColumn("k", k).filter("k <= 5").select("src", "dst", r6(c("s")).alias("s"))
+    """Of each memory, the five most similar ones (0.4 or more) made within 30 minutes before it, in the same project."""
+    v = read_table(spark, d, "memory_embeddings").filter("dimensions = 64 and size(vector) = 64").groupBy("memory_id").agg(F.max("vector").alias("v"))
+    m = own(spark, d, "memories").select(clean_key(c("project_id")).alias("key"), "id", c("created_at").alias("at"))
+    return recent_matches(m.join(v, c("id") == c("memory_id")), 1_800_000, 0.4, 5).select("src", "dst", r6(c("s")).alias("s"))
 
 
 def pe_routing(spark, d):
@@ -220,38 +188,30 @@ def pe_routing(spark, d):
     return best.select("id", F.when(c("s") >= 0.4, c("match")).alias("match"), F.when(c("s") >= 0.4, zone).otherwise("new_trace").alias("zone"))
 
 
-for _f in (retrieve_recency, topk_similarity, most_similar, rank_by_activation, context_budget, retrieve_server, salience_rank, reinforce_top5, association_index, prune_associations, location_assoc_stats, ndcg_mrr, episode_sizes, episode_links, temporal_spread, temporal_neighbors, sessions_users, session_memories, expired_sessions, auto_associations, pe_routing):
+for _f in (retrieve_recency, topk_similarity, most_similar, rank_by_activation, context_budget, salience_rank, reinforce_top5, association_index, prune_associations, associations_of, location_assoc_stats, ndcg_mrr, sessions_users, session_memories, expired_sessions, auto_associations, pe_routing):
     QUERIES[_f.__name__] = _f
 
 _RATE = "case when a < 0 then 0.5 when a < 1800000 then 0.3 when a < 7200000 then 0.4 when a < 86400000 then 0.45 else 0.5 end"
 _EV = """ev as (select user_id k, event_id id, epoch_us(ts) // 1000 t from events)"""
-_EP = _EV + """, e1 as (select *, case when t - lag(t) over (partition by k order by t, id) <= 7200000 then 0 else 1 end s from ev),
-e2 as (select *, sum(s) over (partition by k order by t, id) run from e1), e3 as (select *, row_number() over (partition by k, run order by t, id) - 1 n from e2),
-ep as (select k, run, n // 5 part, n % 5 pos, id, t from e3),
-li as (select a.id src, b.id dst, b.pos - a.pos distance, exp(-0.3 * (b.pos - a.pos)) f, 0.7 * exp(-0.3 * (b.pos - a.pos)) bk from ep a join ep b on a.k = b.k and a.run = b.run and a.part = b.part and b.pos > a.pos and b.pos <= a.pos + 10)"""
 _SS = _EV + """, s1 as (select *, case when t - lag(t) over (partition by k order by t, id) < 1800000 then 0 else 1 end s from ev), s2 as (select *, sum(s) over (partition by k order by t, id) g from s1),
-ss as (select k user_id, g session, min(t) started, max(t) ended, count(*) n from s2 group by 1, 2)"""
+s3_ as (select k user_id, g session, min(t) started, max(t) last_active, count(*) n from s2 group by 1, 2), ss as (select *, lead(started) over (partition by user_id order by session) ended from s3_)"""
 _TEN = f"t as (select id, {_OWN} total, s, content from mem), ten as (select * from t where 1 / (1 + exp((0.3 - total) / 0.1)) >= 0.1 order by total desc, id limit 10)"
 ORACLES |= {
     "retrieve_recency": f"with {F_MEM}, x as (select h.id, t, {NOW_F} - \"last\" a from h join mem on h.id = mem.id) select id, round(b, 6) b from (select id, ln(sum(pow(greatest(({NOW_F} - t) / 1000.0::double, 1.0::double), -({_RATE})))) b from x group by id order by b desc, id limit 10)",
     "topk_similarity": f"with {F_MEM} select id, round(s, 6) s from (select id, s from mem order by s desc, id limit 10)",
     "most_similar": f"with {F_MEM} select id, round(s, 6) s from (select id, s from mem where id <> {PROBE} and s >= 0.2 order by s desc, id limit 1)",
     "rank_by_activation": f"with {F_MEM} select id, round(t, 6) total from (select id, {_OWN} t from mem order by t desc, id limit 20)",
-    "context_budget": f"with {F_MEM}, {_TEN}, u as (select id, total, ceil(length(content) / 4.0)::int tokens from ten where s >= 0.05), v as (select id, tokens, sum(tokens) over (order by total desc, id)::bigint running from u) select * from v where running <= 2000",
-    "retrieve_server": _WITH + f", u as (select id, total from t where 1 / (1 + exp((0.0 - total) / 0.25)) >= 0.1 order by total desc, id limit 20), z as (select u.id, total * case when \"last\" >= {NOW_F - 3 * 86_400_000} then 1.5 else 1 end score, 1 / (1 + exp((0.0 - total) / (0.25 * (2 - strength)))) p from u join mem on mem.id = u.id order by score desc, u.id limit 10) select id, round(score, 6) score, round(p, 6) p from z",
+    "context_budget": f"with {F_MEM}, {_TEN}, u as (select id, total, ceil(length(content) / 4.0)::int tokens from ten where s >= 0.3), v as (select id, tokens, sum(tokens) over (order by total desc, id)::bigint running from u) select * from v where running <= 2000",
     "salience_rank": f"with {F_MEM} select id, round(x, 6) x from (select id, pow(2.0::double, -({NOW_F} - \"last\") / 86400000.0::double) x from mem where \"last\" is not null order by x desc, id limit 10)",
-    "reinforce_top5": f"with {F_MEM}, {F_EDGES}, {_TEN}, five as (select id from ten order by total desc, id limit 5) select src, dst, round(least(1, w + 0.05), 6) w from edges where src in (select id from five) and dst in (select id from five)",
+    "reinforce_top5": f"with {F_EDGES}, k as (select a.vec_id q, b.vec_id id, row_number() over (partition by a.vec_id order by round({sql_cosine('a.embedding', 'b.embedding')}, 12) desc, b.vec_id) r from embeddings a, embeddings b where a.vec_id % 20 = 0) select distinct src, dst, round(least(1, w + 0.05), 6) w from edges join k x on x.id = src and x.r <= 5 join k y on y.id = dst and y.r <= 5 and x.q = y.q",
     "association_index": f"with {F_EDGES} select id, count(*) n from (select src id from edges union all select dst from edges) group by 1",
-    "prune_associations": f"with {F_EDGES} select src, dst, round(w, 6) w from edges where w >= 0.3",
+    "prune_associations": f"with {F_EDGES} select src, dst, round(w * exp(-1.0::double), 6) w from edges where w * exp(-1.0::double) >= 0.1",
+    "associations_of": f"with {F_EDGES} select src, dst, round(w, 6) w from edges where src = 20 or dst = 20",
     "location_assoc_stats": f"with {F_EDGES} select src, count(*) n, count(*) filter (where w >= 0.5) strong, round(avg(w), 6) mean from edges group by 1",
-    "ndcg_mrr": f"with {F_MEM}, r as (select project % 4 rel, row_number() over (order by {_OWN} desc, id) k from mem qualify k <= 10), i as (select project % 4 rel, row_number() over (order by project % 4 desc, id) k from mem qualify k <= 10) select round((select sum((pow(2, rel) - 1) / log2(k + 1)) from r) / (select sum((pow(2, rel) - 1) / log2(k + 1)) from i), 6) ndcg, round((select max(case when rel > 0 then 1.0::double / k else 0 end) from r), 6) mrr, round((select count(*) filter (where rel > 0) / 10.0::double from r), 6) p",
-    "episode_sizes": f"with {_EP} select k \"key\", run, part, count(*) n, min(t) started, max(t) ended from ep group by 1, 2, 3",
-    "episode_links": f"with {_EP} select src, dst, distance, round(f, 6) forward, round(bk, 6) backward from li",
-    "temporal_spread": f"with {_EP}, sd as (select event_id id from events where event_type = 'purchase'), g as (select dst id, 1.2 * f a from li where src in (select id from sd) union all select src, 1.2 * bk from li where dst in (select id from sd) union all select id, 1.0 from sd) select id, round(max(a), 6) a from g group by 1",
-    "temporal_neighbors": f"with {_EP}, q as (select src, dst, row_number() over (partition by src order by distance, f desc, dst) k from li) select * from q where k <= 3",
+    "ndcg_mrr": f"with {F_MEM}, r as (select project % 4 rel, row_number() over (order by {_OWN} desc, id) k from mem qualify k <= 10), i as (select project % 4 rel, row_number() over (order by project % 4 desc, id) k from mem qualify k <= 10) select round((select sum((pow(2, rel) - 1) / log2(k + 1)) from r) / (select sum((pow(2, rel) - 1) / log2(k + 1)) from i), 6) ndcg, round((select max(case when rel > 0 then 1.0::double / k else 0 end) from r), 6) mrr, round((select count(*) filter (where rel > 0) / 10.0::double from r), 6) p, round((select count(*) filter (where rel > 0) from r) / (select count(*) filter (where project % 4 > 0) from mem)::double, 6) r",
     "sessions_users": f"with {_SS} select * from ss",
-    "session_memories": f"with {_SS}, h as (select event_id % (select count(*) from embeddings) id, epoch_us(ts) // 1000 t from events) select distinct user_id, session, id from h join ss on t between started and ended",
-    "expired_sessions": f"with {_SS} select user_id, count(*) n from ss where ended < {NOW_F - 14 * 86_400_000} group by 1",
-    "auto_associations": f"with m as (select vec_id id, embedding v, label % 4 p, vec_id * 97000 t from embeddings), s as (select a.id src, b.id dst, {sql_cosine('a.v', 'b.v')} s from m a join m b on a.p = b.p and b.t < a.t and a.t - b.t <= 1800000), k as (select *, row_number() over (partition by src order by s desc, dst) k from s where s >= 0.1) select src, dst, round(s, 6) s from k where k <= 5",
-    "pe_routing": f"with s as (select a.vec_id id, b.vec_id o, {sql_cosine('a.embedding', 'b.embedding')} s from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.vec_id % 20 <> 0), k as (select *, row_number() over (partition by id order by s desc, o) k from s) select id, case when s >= 0.4 then o end \"match\", case when s < 0.4 or 1 - s >= 0.55 then 'new_trace' when 1 - s < 0.1 then 'reinforce' else 'reconsolidate' end zone from k where k = 1",
+    "session_memories": f"with {_SS} select distinct user_id, session, event_id % (select count(*) from embeddings) id from events join ss using (user_id) where epoch_us(ts) // 1000 between started and last_active",
+    "expired_sessions": f"with {_SS} select user_id, count(*) n from ss where ended < {NOW_F - 7 * 86_400_000} group by 1",
+    "auto_associations": f"with v as (select memory_id id, max(vector) v from memory_embeddings where dimensions = 64 and len(vector) = 64 group by 1), g as (select * from v where isfinite({sql_dot('v', 'v')}) and {sql_dot('v', 'v')} > 0), m as (select id, v, lower(trim(project_id)) p, created_at t from {own_sql('memories', 'project_id, created_at')} join g using (id) where trim(project_id) <> ''), s as (select a.id src, b.id dst, round({sql_cosine('a.v', 'b.v')}, 12) s from m a join m b on a.p = b.p and b.t < a.t and a.t - b.t < 1800000), k as (select *, row_number() over (partition by src order by s desc, dst) k from s where s >= 0.4) select src, dst, round(s, 6) s from k where k <= 5",
+    "pe_routing": f"with s as (select a.vec_id id, b.vec_id o, {sql_cosine('a.embedding', 'b.embedding')} s from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.vec_id <> a.vec_id), k as (select *, row_number() over (partition by id order by round(s, 12) desc, o) k from s) select id, case when s >= 0.4 then o end \"match\", case when s < 0.4 or 1 - s >= 0.55 then 'new_trace' when 1 - s < 0.1 then 'reinforce' else 'reconsolidate' end zone from k where k = 1",
 }

@@ -125,15 +125,6 @@ def visual_weights(spark, d):
     return _visuals(spark, d).filter("arousal is not null").select("id", r6(w).alias("weight"), r6(F.coalesce("significance", F.lit(0.5)) * 0.2 + F.when(w > 0.7, (w - 0.7) * 0.3).otherwise(0.0)).alias("boost"))
 
 
-def visual_retrieve(spark, d):
-    """Visual memories by recency, emotion and significance, for a probe that is equally similar to all."""
-    v = _visuals(spark, d).filter("arousal is not null and significance is not null and days >= 0")
-    w = vis.emotional_weight(c("arousal"))
-    b = F.ln(F.greatest(c("n"), F.lit(1)) * F.pow(F.greatest(c("days") * 86_400.0, F.lit(1.0)), F.lit(-0.5)))
-    total = act.combined(b, F.lit(0.125), F.lit(0.0), w) + 0.2 * c("significance") + F.when(w > 0.7, (w - 0.7) * 0.3).otherwise(0.0)
-    return v.select("id", total.alias("t")).orderBy(F.desc(r6(c("t"))), "id").limit(20).select("id", r6(c("t")).alias("total"))
-
-
 def visual_stats(spark, d):
     return _visuals(spark, d).groupBy("media_type", "source").agg(F.count("*").alias("n"), r6(F.avg("significance")).alias("significance"))
 
@@ -207,15 +198,7 @@ def frame_prompt(spark, d):
     return v.select("id", F.format_string("Frame %d shared by %s: %s", "frame_number", F.coalesce("shared_by", F.lit("unknown")), F.coalesce(F.substring("description", 1, 200), F.lit(""))).alias("prompt"))
 
 
-def context_with_visuals(spark, d):
-    """The most significant notes and pictures in one list, with their token estimates."""
-    m = own(spark, d, "memories").filter("emotional_weight is not null").select(F.lit("memory").alias("what"), "id", c("emotional_weight").alias("w"), tokens(F.coalesce("gist", "content", F.lit(""))).alias("tokens"))
-    v = _visuals(spark, d).filter("significance is not null").select(F.lit("visual").alias("what"), "id", c("significance").alias("w"), tokens(F.coalesce("description", F.lit(""))).alias("tokens"))
-    top = lambda df, n: df.orderBy(F.desc("w"), "id").limit(n)
-    return top(m, 14).unionByName(top(v, 6))
-
-
-QUERIES = {f.__name__: f for f in (location_familiarity, location_stats, recent_locations, all_locations, location_contexts, prune_contexts, location_by_activity, context_summaries, location_orphaned, location_merge, location_associated, co_access_strength, co_access_time, significant_visuals, tag_strength, pruning_candidates, should_prune_visual, visual_weights, visual_retrieve, visual_stats, aggregate_frames, scene_changes, scene_stats, scene_sizes, frame_scores, scene_representatives, frame_prompt, context_with_visuals)}
+QUERIES = {f.__name__: f for f in (location_familiarity, location_stats, recent_locations, all_locations, location_contexts, prune_contexts, location_by_activity, context_summaries, location_orphaned, location_merge, location_associated, co_access_strength, co_access_time, significant_visuals, tag_strength, pruning_candidates, should_prune_visual, visual_weights, visual_stats, aggregate_frames, scene_changes, scene_stats, scene_sizes, frame_scores, scene_representatives, frame_prompt)}
 QUERIES |= {"select_frames": frame_select, "even_frames": even}
 
 _AC = "with a as (select user_id::varchar project, event_type || '/' || (props->>'$.k') path, value > 50 direct, event_type context, epoch_us(ts) // 1000 t, event_id id from events) "
@@ -245,7 +228,6 @@ ORACLES = {
     "pruning_candidates": _VI + "select id, case when old > 90 then 'stale' else 'low_significance' end reason, round(case when old > 90 then old / 90 * (1 - significance) else (0.2 - significance) * least(old / 14, 1) end, 6) score from v where significance is not null and old is not null and not pinned and coalesce(frame_number, 1) <> 0 and (old > 90 or significance < 0.2)",
     "should_prune_visual": _VI + "select id, not pinned and not k0 and ((old + 60 > 90 and significance < 0.2) or (old + 60 > 180 and significance < 0.5)) prune from v where significance is not null and old is not null",
     "visual_weights": _VI + f"select id, round({_W}, 6) weight, round(coalesce(significance, 0.5) * 0.2 + case when {_W} > 0.7 then ({_W} - 0.7) * 0.3 else 0 end, 6) boost from v where arousal is not null",
-    "visual_retrieve": _VI + f", t as (select id, round(0.125 * (1 + {_W} - 0.5) * (1 + least(greatest((ln(greatest(n, 1) * pow(greatest(old * 86400, 1), -0.5)) + 10) / 10, 0), 1)) + 0.2 * significance + case when {_W} > 0.7 then ({_W} - 0.7) * 0.3 else 0 end, 6) total from v where arousal is not null and significance is not null and old >= 0) select id, total from t order by total desc, id limit 20",
     "visual_stats": _VI + "select media_type, source, count(*) n, round(avg(significance), 6) significance from v group by 1, 2",
     "aggregate_frames": f"with v as {own_sql('visual_memories', 'video_id, objects, emotional_valence, emotional_arousal, significance')}, o as (select video_id, unnest(json_extract_string(objects, '$[*]')) o from v where json_valid(objects) and objects like '[%'), n as (select video_id, count(distinct lower(o)) objects from o group by 1) select v.video_id, round(avg(emotional_valence), 6) valence, round(avg(emotional_arousal), 6) arousal, greatest(max(significance), 0) significance, coalesce(max(n.objects), 0) objects from v left join n using (video_id) where video_id is not null group by 1",
     "scene_changes": _SC + "select video_id, frame_number, bits, scene, duplicate from sc",
@@ -255,5 +237,4 @@ ORACLES = {
     "even_frames": _FR + ", n as (select video_id, frame_number, row_number() over (partition by video_id order by frame_number) - 1 i, count(*) over (partition by video_id) n from f) select video_id, frame_number from n where n <= 8 or i = n - 1 or (i % (n // 8) = 0 and i // (n // 8) < 7)",
     "scene_representatives": _SC + ", pc as (select *, (row_number() over (partition by video_id, k order by frame_number) - 1) // 200 piece from sk), b as (select x.video_id, x.k, x.piece, x.frame_number, sum(bit_count(xor(('0x' || x.hash)::ubigint, ('0x' || y.hash)::ubigint))) bits from pc x join pc y on x.video_id = y.video_id and x.k = y.k and x.piece = y.piece group by 1, 2, 3, 4) select video_id, k, piece, frame_number from (select *, row_number() over (partition by video_id, k, piece order by bits, frame_number) r from b) where r = 1",
     "frame_prompt": _VI + "select id, 'Frame ' || frame_number || ' shared by ' || coalesce(shared_by, 'unknown') || ': ' || coalesce(substring(description, 1, 200), '') prompt from v where frame_number is not null",
-    "context_with_visuals": _VI + f", m as (select id, emotional_weight w, ceil(length(coalesce(gist, content, '')) / 4.0)::int tokens from {own_sql('memories', 'emotional_weight, gist, content')} where emotional_weight is not null), a as (select 'memory' what, id, w, tokens from m order by w desc, id limit 14), b as (select 'visual' what, id, significance w, ceil(length(coalesce(description, '')) / 4.0)::int tokens from v where significance is not null order by significance desc, id limit 6) select * from a union all select * from b",
 }
