@@ -35,3 +35,5 @@ ENCODING = {"base": 0.3, "attention": 0.2, "emotion": 0.2, "rehearsal": 0.3, "mo
 NOISE_BASE = 0.25
 RECONSOLIDATION = {"low": 0.10, "high": 0.55, "beta": 10.0}
 EPISODE = {"gap_ms": 300_000, "most_events": 50, "reach": 10, "forward": 1.0, "backward": 0.7, "rate": 0.3, "boost": 1.2}
+#: Importance from which a memory primes later ones, what it gives, how long, and the cells that the fold uses.
+PRIMING = {"threshold": 0.7, "slope": 1.67, "most": 0.5, "half_life_ms": 5_400_000.0, "least": 0.01, "cell_ms": 43_200_000}

@@ -41,14 +41,17 @@ def association_strength(count: Column, times: Column | float = 1.0) -> Column:
     return 1.0 - 1.0 / (1.0 + 0.1 * count * times)
 
 
-def activity(context: Column, tool: Column | None = None) -> Column:
-    """struct(activity, source, confidence) by keyword, then tool, then default."""
+def activity(context: Column, tool: Column | None = None, explicit: Column | None = None) -> Column:
+    """struct(activity, source, confidence): what was said outright, else by keyword, then tool, then default."""
     lower = F.lower(F.coalesce(context, F.lit("")))
 
-    def made(name: str, source: str, confidence: float) -> Column:
-        return F.struct(F.lit(name).alias("activity"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))
+    def made(name: str | Column, source: str, confidence: float) -> Column:
+        named = F.lit(name) if isinstance(name, str) else name
+        return F.struct(named.alias("activity"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))
 
     out = F.when(F.lit(False), made("", "", 0.0))
+    if explicit is not None:
+        out = out.when(explicit != "unknown", made(explicit, "explicit", 1.0))
     for name, words, confidence in ACTIVITIES:
         out = out.when(lower.rlike("|".join(words)), made(name, "keyword", confidence))
     if tool is not None:

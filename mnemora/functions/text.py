@@ -23,7 +23,8 @@ def collapsed(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?]) "), F.trim), lambda s: s != "")
+    """The text's sentences: a mark of their end and a space part them."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?]) "), lambda s: F.trim(s)), lambda s: s != "")
 
 
 _WORD = re.compile(r"\b[a-z]+\b", re.ASCII)
@@ -63,8 +64,13 @@ def gist(content: pd.Series) -> pd.Series:
     return content.map(gist_of, na_action="ignore")
 
 
+def units(text: Column) -> Column:
+    """Length in UTF-16 units: characters outside the basic plane count twice."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
 def tokens(text: Column) -> Column:
-    return F.ceil(F.length(text) / 4.0).cast("int")
+    return F.ceil(units(text) / 4.0).cast("int")
 
 
 def media_path(text: Column, types: str = IMAGE_TYPES) -> Column:

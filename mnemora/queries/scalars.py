@@ -9,7 +9,7 @@ from mnemora.config import DAY_MS
 from mnemora.functions import activation as act
 from mnemora.functions import location as loc
 from mnemora.functions import visual as vis
-from mnemora.functions.text import gist, media_path, tokens
+from mnemora.functions.text import STOP_WORDS, collapsed, gist, media_path, sentences, tokens
 from mnemora.functions.vector import unit
 from mnemora.queries.base import F_MEM, NOW, NOW_F, f_embeddings, f_memories, own, own_sql, read_table
 
@@ -51,7 +51,7 @@ _memory("surprise", lambda: {"surprise": r6(act.surprise(c("s"), _days(), c("str
 _memory("project_boost", lambda: {"weight": r6(act.project_boost(c("emotion"), c("project") == 3))}, "round(case when project = 3 then least(emotion + 0.15, 1) else emotion end, 6) weight")
 _memory("reinforce_strength", lambda: {"w": r6(act.reinforced(c("strength"))), "prune": c("strength") < 0.35}, "round(least(1, strength + 0.05), 6) w, strength < 0.35 prune")
 _memory("filter_by_probability", lambda: {"kept": act.probability(_total(), 0.3, 0.1) >= 0.1}, f"1 / (1 + exp((0.3 - {_TOTAL}) / 0.1)) >= 0.1 kept")
-_memory("token_estimate", lambda: {"tokens": tokens(c("content")), "fits": tokens(c("content")) <= 600}, "ceil(length(content) / 4.0)::int tokens, ceil(length(content) / 4.0) <= 600 fits")
+_memory("token_estimate", lambda: {"tokens": tokens(c("content")), "fits": tokens(c("content")) <= 600}, "ceil((length(content) + length(regexp_replace(content, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4.0)::int tokens, ceil((length(content) + length(regexp_replace(content, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4.0) <= 600 fits")
 _memory("familiarity", lambda: {"f": r6(loc.familiarity(c("accesses"))), "known": loc.well_known(loc.familiarity(c("accesses")))}, "round(1 - 1 / (1 + 0.1 * accesses), 6) f, 1 - 1 / (1 + 0.1 * accesses) >= 0.7 known")
 _memory("assoc_multiplier", lambda: {"m": loc.multiplier(c("id") % 2 == 0, c("id") % 3 == 0), "strength": r6(loc.association_strength(c("id") % 9, loc.multiplier(c("id") % 2 == 0, c("id") % 3 == 0)))}, "case when id % 2 = 0 and id % 3 = 0 then 5 when id % 2 = 0 then 3 when id % 3 = 0 then 2 else 1 end::double m, round(1 - 1 / (1 + 0.1 * (id % 9) * case when id % 2 = 0 and id % 3 = 0 then 5 when id % 2 = 0 then 3 when id % 3 = 0 then 2 else 1 end), 6) strength")
 _memory("consolidation_progress", lambda: {"progress": r6(act.clamp(c("id") * 60_000 / 3_600_000.0, 0.0, 1.0)), "open": c("id") * 60_000 < 3_600_000}, "round(least(greatest(id * 60000 / 3600000.0::double, 0), 1), 6) progress, id * 60000 < 3600000 \"open\"")
@@ -70,17 +70,24 @@ def gists(spark: SparkSession, d: str) -> DataFrame:
     return own(spark, d, "memories").filter("content is not null").select("id", gist(c("content")).alias("gist"))
 
 
-def gist_short(spark: SparkSession, d: str) -> DataFrame:
-    return own(spark, d, "memories").filter("content is not null").select("id", F.when(F.length(F.trim(F.regexp_replace("content", r"\s+", " "))) <= 150, gist(c("content"))).alias("gist"))
+def split_sentences(spark: SparkSession, d: str) -> DataFrame:
+    m = own(spark, d, "memories").filter("content is not null")
+    return m.select("id", F.posexplode(sentences(collapsed(c("content")))).alias("k", "sentence"))
 
 
 def infer_activity(spark: SparkSession, d: str) -> DataFrame:
-    m = own(spark, d, "memories").select("id", loc.activity(c("content"), F.when(c("source") == "editor", "Edit").when(c("source") == "cli", "Read")).alias("a"))
+    """The activity of each memory: bugs say so outright, contexts say that they don't know, the others leave it open."""
+    explicit = F.when(c("type") == "bug", "debugging").when(c("type") == "context", "unknown")
+    m = own(spark, d, "memories").select("id", loc.activity(c("content"), F.when(c("source") == "editor", "Edit").when(c("source") == "cli", "Read"), explicit).alias("a"))
     return m.select("id", "a.activity", "a.source", "a.confidence")
 
 
 def detect_media(spark: SparkSession, d: str) -> DataFrame:
-    v = own(spark, d, "visual_memories").select("id", F.concat(F.lit("look at "), F.coalesce("original_path", F.lit("nothing")), F.lit(" please")).alias("t"))
+    """Paths in texts that hold them bare, in quotes, or as an address, by turns."""
+    path = F.coalesce("original_path", F.lit("nothing"))
+    kind = F.length("description") % 3
+    shown = F.when(kind == 0, path).when(kind == 1, F.concat(F.lit('"'), F.regexp_replace(path, "/media/", "/my media/"), F.lit('" or x.gif'))).otherwise(F.concat(F.lit("https://files.example"), path, F.lit(" and a.png")))
+    v = own(spark, d, "visual_memories").select("id", F.concat(F.lit("look at "), F.coalesce(shown, path), F.lit(" please")).alias("t"))
     return v.select("id", media_path(c("t")).alias("image"), media_path(c("t"), "mp4|mov|avi|mkv|webm|m4v").alias("video"))
 
 
@@ -89,6 +96,12 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"))
 
 
+def json_safe(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of projects, an empty one where the JSON is broken or null."""
+    x = F.from_json("context", "memoryCount int, typesSeen array<string>")
+    return own(spark, d, "projects").select("id", F.coalesce(x["memoryCount"], F.lit(0)).alias("count"), F.coalesce(F.array_join(x["typesSeen"], ","), F.lit("")).alias("seen"))
+
+
 def location_decay(spark: SparkSession, d: str) -> DataFrame:
     m = f_memories(spark, d).select("id", loc.familiarity(c("accesses")).alias("f"), (c("id") % 90).cast("double").alias("days"), (c("id") % 13 == 0).alias("pinned"))
     return m.select("id", r6(loc.decayed(c("f"), c("days"), c("pinned"))).alias("f"))
@@ -99,7 +112,7 @@ def render_context(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", F.format_string("- [%s] %s", F.lower(F.coalesce("type", F.lit("unknown"))), F.coalesce("gist", F.substring(F.coalesce("content", F.lit("")), 1, 50))).alias("line"))
 
 
-QUERIES |= {"normalize_vec": normalize_vec, "association_decay": association_decay, "gist": gists, "gist_short": gist_short, "infer_activity": infer_activity, "detect_media": detect_media, "json_props": json_props, "location_decay": location_decay, "render_context": render_context}
+QUERIES |= {"normalize_vec": normalize_vec, "association_decay": association_decay, "gist": gists, "split_sentences": split_sentences, "infer_activity": infer_activity, "detect_media": detect_media, "json_props": json_props, "json_safe": json_safe, "location_decay": location_decay, "render_context": render_context}
 
 _ACT = " ".join(f"when regexp_matches(t, '{'|'.join(w)}') then '{a}'" for a, w, _ in loc.ACTIVITIES)
 _CONF = " ".join(f"when regexp_matches(t, '{'|'.join(w)}') then {x}" for _, w, x in loc.ACTIVITIES)
@@ -108,11 +121,13 @@ _IMG, _VID = "jpg|jpeg|png|gif|webp|heic|heif", "mp4|mov|avi|mkv|webm|m4v"
 ORACLES |= {
     "normalize_vec": "with e as (select vec_id id, embedding v, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) n from embeddings) select id, (i - 1)::int k, round(v[i]::double / n, 6) x from e, range(1, 65) r(i)",
     "association_decay": f"select id, round(encoding_strength * exp(-(({NOW} - created_at) / 86400000.0::double) / case lower(consolidation_state) when 'consolidating' then 1.0::double when 'consolidated' then 30.0::double when 'reconsolidating' then 7.0::double else 1 / 24.0::double end), 6) s from {own_sql('memories', 'created_at, encoding_strength, consolidation_state')} where created_at is not null and encoding_strength is not null",
-    "gist_short": f"select id, case when length(trim(regexp_replace(content, '\\s+', ' ', 'g'))) <= 150 then trim(regexp_replace(content, '\\s+', ' ', 'g')) end gist from {own_sql('memories', 'content')} where content is not null",
-    "infer_activity": f"with m as (select id, lower(coalesce(content, '')) t, source s from {own_sql('memories', 'content, source')}) select id, case {_ACT} when s = 'cli' then 'reading' when s = 'editor' then 'writing' else 'unknown' end activity, case when {_KW} then 'keyword' when s in ('cli', 'editor') then 'tool' else 'default' end source, case {_CONF} when s in ('cli', 'editor') then 0.5 else 0.0 end::double confidence from m",
-    "detect_media": f"with v as (select id, 'look at ' || coalesce(original_path, 'nothing') || ' please' t from {own_sql('visual_memories', 'original_path')}) select id, "
+    "split_sentences": f"with m as (select id, trim(regexp_replace(content, '\\s+', ' ', 'g')) t from {own_sql('memories', 'content')} where content is not null), p as (select id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') s from m) select id, (i - 1)::int k, s[i] sentence from p, lateral (select unnest(range(1, len(s) + 1)) i)",
+    "gist": f"with m as (select id, trim(regexp_replace(content, '[\\s\\x{{a0}}\\x{{3000}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{1680}}\\x{{85}}]+', ' ', 'g')) t from {own_sql('memories', 'content')} where content is not null), p as (select id, t, list_filter(string_split(regexp_replace(t, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') s from m), f as (select id, t, coalesce(list_filter(s, lambda x: length(x) > 20)[1], s[1]) one from p), w as (select id, one, unnest(regexp_extract_all(lower(t), '\\b[a-z]+\\b')) x, generate_subscripts(regexp_extract_all(lower(t), '\\b[a-z]+\\b'), 1) i from f where length(t) > 150 and length(one) <= 150), k as (select id, x, count(*) n, min(i) i from w where length(x) > 3 and x not in {tuple(sorted(set(STOP_WORDS)))} and not list_contains(regexp_extract_all(lower(one), '\\b[a-z]+\\b'), x) group by 1, 2 having count(*) > 1), g as (select id, string_agg(x, ', ' order by n desc, i) terms from (select * from k qualify row_number() over (partition by id order by n desc, i) <= 3) group by 1) select f.id, case when length(t) <= 150 then t when length(one) <= 150 then one || case when terms is not null and length(one) + length(terms) + 3 <= 150 then ' [' || terms || ']' else '' end else regexp_extract(left(t, 148), '^(.*) ', 1) || '...' end gist from f left join g on g.id = f.id",
+    "infer_activity": f"with m as (select id, lower(coalesce(content, '')) t, source s, type = 'bug' e from {own_sql('memories', 'content, source, type')}) select id, case when e then 'debugging' {_ACT} when s = 'cli' then 'reading' when s = 'editor' then 'writing' else 'unknown' end activity, case when e then 'explicit' when {_KW} then 'keyword' when s in ('cli', 'editor') then 'tool' else 'default' end source, case when e then 1.0 {_CONF} when s in ('cli', 'editor') then 0.5 else 0.0 end::double confidence from m",
+    "detect_media": f"with w as (select id, coalesce(original_path, 'nothing') p, length(description) % 3 k from {own_sql('visual_memories', 'original_path, description')}), v as (select id, 'look at ' || case when k = 0 then p when k = 1 then '\"' || replace(p, '/media/', '/my media/') || '\" or x.gif' when k = 2 then 'https://files.example' || p || ' and a.png' else p end || ' please' t from w) select id, "
     + ", ".join(f"coalesce(nullif(regexp_extract(t, '\"([^\"]+\\.(?:{x}))\"', 1), ''), nullif(regexp_extract(t, '(https?://[^\\s]+\\.(?:{x}))', 1), ''), nullif(regexp_extract(t, '([^\\s]+\\.(?:{x}))', 1), '')) {n}" for n, x in (("image", _IMG), ("video", _VID)))
     + " from v",
+    "json_safe": f"select id, coalesce(case when json_valid(context) then (context->>'$.memoryCount')::int end, 0) count, coalesce(case when json_valid(context) then array_to_string(json_extract_string(context, '$.typesSeen[*]'), ',') end, '') seen from {own_sql('projects', 'context')}",
     "json_props": "select (props->>'$.k')::int k, count(*) n from events group by 1",
     "location_decay": f"with {F_MEM}, l as (select id, 1 - 1 / (1 + 0.1::double * accesses) f, (id % 90)::double old from mem) select id, round(case when id % 13 = 0 or old < 30 then f else greatest(0.1 + case when f > 0.5 then 0.4 * (f - 0.5) else 0 end, f * (1 - 0.1 * (1 - 0.8 * f))) end, 6) f from l",
     "render_context": f"select id, '- [' || lower(coalesce(type, 'unknown')) || '] ' || coalesce(gist, substring(coalesce(content, ''), 1, 50)) line from {own_sql('memories', 'type, gist, content')}",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.functions import activation as act
+from mnemora.operators.episodes import episodes
 from mnemora.queries.base import NOW, clean_key, own, own_sql, read_table
+from mnemora.queries.temporal import episode_sql
 
 c = F.col
 r6 = lambda x: F.round(x, 6)
@@ -51,10 +53,10 @@ def typed_memories(spark, d):
 
 
 def partial_update(spark, d):
-    """New gists where they are given, the old ones else."""
+    """New values where they are given, the old ones else, of several fields at once."""
     m = _mem(spark, d)
-    new = m.filter("access_count >= 10").select("id", F.concat(F.lit("seen "), c("access_count").cast("string")).alias("new_gist"))
-    return m.join(new, "id", "left").select("id", F.coalesce("new_gist", "gist").alias("gist"))
+    new = m.filter("access_count >= 10").select("id", F.concat(F.lit("seen "), c("access_count").cast("string")).alias("new_gist"), F.when(c("access_count") >= 12, 0.9).alias("new_weight"), F.when(c("type") == "bug", "solution").alias("new_type"))
+    return m.join(new, "id", "left").select("id", F.coalesce("new_gist", "gist").alias("gist"), F.coalesce("new_weight", "emotional_weight").alias("weight"), F.coalesce("new_type", "type").alias("type"))
 
 
 def has_embedding(spark, d):
@@ -92,44 +94,67 @@ def consolidation_counts(spark, d):
 
 
 def consolidation_status(spark, d):
+    """Counts by state, weak memories (under 0.1), mean strength, vectors pending, and the five newest episodes' sizes."""
     m = _mem(spark, d)
-    return m.agg(F.count("*").alias("memories"), F.count_if(c("encoding_strength") < 0.1).alias("weak"), r6(F.avg("encoding_strength")).alias("mean_strength"), F.count_if(c("consolidation_state") == "fresh").alias("fresh"))
+    a = m.agg(F.count("*").alias("memories"), F.count_if(c("encoding_strength") < 0.1).alias("weak"), r6(F.avg("encoding_strength")).alias("mean_strength"), *[F.count_if(c("consolidation_state") == s).alias(s) for s in _STATES])
+    e = episodes(m.select(clean_key(c("project_id")).alias("key"), "id", c("created_at").alias("at"))).groupBy("key", "run", "part").agg(F.count("*").alias("n"), F.max("at").alias("ended"))
+    newest = e.orderBy(F.desc("ended"), "key", "run", "part").limit(5).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-c("ended")).alias("o"), "key", "run", "part", "n"))), lambda x: x["n"].cast("string")), ",").alias("newest_episodes"))
+    return a.crossJoin(pending_embeddings(spark, d).agg(F.count("*").alias("pending"))).crossJoin(newest)  # one row each
 
 
 def store_stats(spark, d):
+    """Rows of each kind and bytes of text."""
     parts = [
-        ("memories", _mem(spark, d)), ("embeddings", _emb(spark, d)), ("projects", own(spark, d, "projects")), ("visual_memories", own(spark, d, "visual_memories")), ("accesses", own(spark, d, "access_history")), ("pending", pending_embeddings(spark, d)),
+        ("memories", _mem(spark, d)), ("embeddings", _emb(spark, d)), ("projects", own(spark, d, "projects")), ("visual_memories", own(spark, d, "visual_memories")), ("visual_embeddings", own(spark, d, "visual_memories").filter("embedding is not null")),
+        ("accesses", own(spark, d, "access_history")), ("pending", pending_embeddings(spark, d)), ("pending_visuals", own(spark, d, "visual_memories").filter("embedding is null")),
     ]
-    out = None
+    out = _mem(spark, d).agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("n")).select(F.lit("bytes").alias("what"), "n")
     for name, df in parts:
-        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
-        out = row if out is None else out.union(row)
+        out = out.union(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n"))
     return out
 
 
 def project_rollup(spark, d):
+    """Of each project the number of memories, the types seen in order of their first memory, and the last memory's time."""
     m = _mem(spark, d).withColumn("p", clean_key(c("project_id"))).filter("p is not null")
-    return m.groupBy(c("p").alias("project")).agg(F.count("*").alias("memories"), F.count_distinct("type").alias("types"), F.max("created_at").alias("last"))
+    n = m.groupBy(c("p").alias("project")).agg(F.count("*").alias("memories"), F.max("created_at").alias("last"))
+    first = m.filter("type is not null").groupBy(c("p").alias("project"), "type").agg(F.min(F.struct("created_at", "id")).alias("x"))
+    seen = first.groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "type"))), lambda s: s["type"]), ",").alias("types_seen"))
+    return n.join(seen, "project", "left")
 
 
 def project_rollup_tags(spark, d):
-    """Distinct tags of each project."""
+    """Distinct tags of each project, in order."""
     m = _mem(spark, d).withColumn("p", clean_key(c("project_id"))).filter("p is not null")
-    return m.select(c("p").alias("project"), F.explode(F.from_json("tags", "array<string>")).alias("tag")).filter("tag is not null").groupBy("project").agg(F.count_distinct("tag").alias("tags"))
+    t = m.select(c("p").alias("project"), F.explode(F.from_json("tags", "array<string>")).alias("tag")).filter("tag is not null").distinct()
+    return t.groupBy("project").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("all_tags"))
 
 
-def project_upsert(spark, d):
-    """Projects that memories name and the table doesn't have."""
-    named = _mem(spark, d).select(clean_key(c("project_id")).alias("id")).filter("id is not null").distinct()
-    return named.join(own(spark, d, "projects").select(F.lower("id").alias("id")), "id", "left_anti")
+def forget_cascade(spark, d):
+    """What is left in every child table after the memories that were never accessed, and pictures without a use, are forgotten."""
+    gone = _mem(spark, d).filter("access_count = 0").select(c("id").alias("gone"))
+    unseen = own(spark, d, "visual_memories").filter("access_count = 0").select(c("id").alias("gone"))
+    order = _mem(spark, d).select(c("project_id").alias("p"), "id")
+    pairs = f_pairs(order)
+    left = lambda df, column, out: df.join(out, c(column) == c("gone"), "left_anti")
+    parts = [
+        ("embeddings", left(_emb(spark, d), "memory_id", gone)),
+        ("accesses", left(own(spark, d, "access_history").select("memory_id"), "memory_id", gone)),
+        ("associations", left(left(pairs, "src", gone), "dst", gone)),
+        ("events", left(_mem(spark, d).filter("created_at is not null").select("id"), "id", gone)),
+        ("visual_embeddings", left(own(spark, d, "visual_memories").filter("embedding is not null").select("id"), "id", unseen)),
+    ]
+    out = None
+    for name, df in parts:
+        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+        out = row if out is None else out.union(row)
+    return out
 
 
-def forget_cascade(spark, d):
-    """What is left of each child table after the archived third of the memories is forgotten."""
-    gone = _mem(spark, d).filter("access_count = 0").select("id")
-    e = _emb(spark, d).join(gone, c("memory_id") == c("id"), "left_anti").agg(F.count("*").alias("n")).select(F.lit("embeddings").alias("what"), "n")
-    h = own(spark, d, "access_history").withColumnRenamed("id", "hid").join(gone, c("memory_id") == c("id"), "left_anti").agg(F.count("*").alias("n")).select(F.lit("accesses").alias("what"), "n")
-    return e.union(h)
+def f_pairs(memories: DataFrame) -> DataFrame:
+    """src, dst: associations made up for the test, memories whose ids begin with the same three characters."""
+    m = memories.select("id", F.substring("id", 1, 3).alias("k"))
+    return m.select(c("id").alias("src"), "k").join(m.select(c("id").alias("dst"), "k"), "k").filter("src < dst").select("src", "dst")
 
 
 def prune_oldest(spark, d):
@@ -147,49 +172,12 @@ def micro_decay(spark, d):
     return m.select("id", r6(F.greatest(c("encoding_strength") * 0.98, F.lit(0.1))).alias("strength"))
 
 
-def state_transitions(spark, d):
-    age = NOW - c("created_at")
-    since = NOW - c("last_consolidated")
-    state = (
-        F.when((c("consolidation_state") == "fresh") & (age > 86_400_000), "consolidated").when((c("consolidation_state") == "fresh") & (age > 3_600_000), "consolidating")
-        .when((c("consolidation_state") == "consolidating") & (age > 86_400_000), "consolidated").when((c("consolidation_state") == "reconsolidating") & (since > 86_400_000), "consolidated").otherwise(c("consolidation_state"))
-    )
-    return _mem(spark, d).select("id", state.alias("state"))
-
-
-def working_memory(spark, d):
-    """The seven most recently accessed memories of each project, no older than a day at its last access."""
-    m = _mem(spark, d).withColumn("p", clean_key(c("project_id"))).filter("p is not null and last_accessed is not null")
-    newest = Window.partitionBy("p").orderBy(F.desc("last_accessed"), "id")
-    m = m.withColumn("k", F.row_number().over(newest)).filter("k <= 7")
-    top = Window.partitionBy("p")
-    return m.withColumn("top", F.max("last_accessed").over(top)).filter("top - last_accessed <= 86400000").select(c("p").alias("project"), "id", "k")
-
-
-def prp_modifier(spark, d):
-    """The strongest decayed boost of an earlier important memory of the same project (half-life 90 minutes).
-
-    The boost of age t is 0.5 ** (t / half-life), so the greatest is the latest one: one running maximum of time.
-    """
-    m = _mem(spark, d).withColumn("p", clean_key(c("project_id"))).filter("p is not null and created_at is not null")
-    before = Window.partitionBy("p").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(c("emotional_weight") >= 0.8, c("created_at"))).over(before)
-    boost = 0.3 * F.pow(F.lit(0.5), (c("created_at") - last) / 5_400_000.0)
-    return m.select("id", r6(F.when(last.isNull() | (boost < 0.01), 0.0).otherwise(boost)).alias("boost"))
-
-
 def visual_list(spark, d):
-    v = own(spark, d, "visual_memories").filter((c("media_type") == "image") & (c("significance") >= 0.5))
+    v = own(spark, d, "visual_memories").filter((c("media_type") == "image") & (c("significance") >= 0.5) & (c("shared_by") == "user"))
     return v.orderBy(F.desc("received_at"), "id").limit(50).select("id", "received_at")
 
 
-def location_find(spark, d):
-    """Files whose path or description holds a pattern, in any case."""
-    v = own(spark, d, "visual_memories").filter(F.col("original_path").ilike("%cam%") | F.col("description").ilike("%red%"))
-    return v.select("id")
-
-
-QUERIES = {f.__name__: f for f in (query_memories, recently_accessed, stale_memories, by_state, typed_memories, partial_update, has_embedding, pending_embeddings, project_rollup, stale_embeddings, embedded_memories, access_summary, memory_base_level, consolidation_counts, consolidation_status, store_stats, project_rollup_tags, project_upsert, forget_cascade, prune_oldest, micro_strengthen, micro_decay, state_transitions, working_memory, prp_modifier, visual_list, location_find)}
+QUERIES = {f.__name__: f for f in (query_memories, recently_accessed, stale_memories, by_state, typed_memories, partial_update, has_embedding, pending_embeddings, project_rollup, stale_embeddings, embedded_memories, access_summary, memory_base_level, consolidation_counts, consolidation_status, store_stats, project_rollup_tags, forget_cascade, prune_oldest, micro_strengthen, micro_decay, visual_list)}
 
 _M, _V, _H = f"with m as {_MEM} ", f"with v as {_VIS} ", f"with h as {_HIS} "
 _CASE = f"case when lower(trim(type)) in {_TYPES} then lower(trim(type)) else 'learning' end"
@@ -200,7 +188,7 @@ ORACLES = {
     "stale_memories": _M + f"select id, last_accessed from m where (last_accessed is null or last_accessed < {NOW - 60 * 86_400_000}) and encoding_strength > 0.1 order by last_accessed asc nulls first, id limit 100",
     "by_state": _M + "select id, created_at from m where consolidation_state = 'consolidating' order by created_at nulls first, id limit 100",
     "typed_memories": _M + f"select id, {_CASE} type from m",
-    "partial_update": _M + "select id, case when access_count >= 10 then 'seen ' || access_count else gist end gist from m",
+    "partial_update": _M + "select id, case when access_count >= 10 then 'seen ' || access_count else gist end gist, case when access_count >= 12 then 0.9 else emotional_weight end weight, case when access_count >= 10 and type = 'bug' then 'solution' else type end type from m",
     "has_embedding": _M + f"select id from m where id in (select memory_id from {_VALID_EMB})",
     "pending_embeddings": _M + f"select id from m where id not in (select memory_id from {_VALID_EMB})",
     "stale_embeddings": f"select model, count(*) n, count(*) filter (where model <> 'memvec-base-2') stale from {_VALID_EMB} group by model",
@@ -208,18 +196,13 @@ ORACLES = {
     "access_summary": _H + f"select memory_id, count(*) n, max(accessed_at) \"last\" from h where accessed_at <= {NOW} group by 1",
     "memory_base_level": _H + f", k as (select *, max(accessed_at) over (partition by memory_id) last from h where accessed_at <= {NOW}) select memory_id, round(ln(sum(pow(greatest(({NOW} - accessed_at) / 1000.0::double, 1.0::double), -({_RATE.format(a=f'({NOW} - last)')})))), 6) b from k group by 1",
     "consolidation_counts": _M + f"select s state, count(m.id) n from (select unnest({list(_STATES)}) s) left join m on consolidation_state = s group by 1",
-    "consolidation_status": _M + "select count(*) memories, count(*) filter (where encoding_strength < 0.1) weak, round(avg(encoding_strength), 6) mean_strength, count(*) filter (where consolidation_state = 'fresh') fresh from m",
-    "store_stats": _M + f"select 'memories' what, count(*) n from m union all select 'embeddings', count(*) from {_VALID_EMB} union all select 'projects', count(distinct id) from projects union all select 'visual_memories', count(distinct id) from visual_memories union all select 'accesses', count(distinct id) from access_history union all select 'pending', count(*) from m where id not in (select memory_id from {_VALID_EMB})",
-    "project_rollup": _M + f"select {_P} project, count(*) memories, count(distinct type) types, max(created_at) \"last\" from m where trim(project_id) <> '' and {_P} <> '' group by 1",
-    "project_rollup_tags": f"with m as {own_sql('memories', 'project_id, tags')}, t as (select {_P} project, unnest(json_extract_string(tags, '$[*]')) tag from m where {_P} <> '' and json_valid(tags) and tags like '[%') select project, count(distinct tag) tags from t where tag is not null group by 1",
-    "project_upsert": _M + f"select distinct {_P} id from m where {_P} <> '' and {_P} not in (select lower(id) from projects where id is not null)",
-    "forget_cascade": _M + f"select 'embeddings' what, count(*) n from {_VALID_EMB} where memory_id not in (select id from m where access_count = 0) union all select 'accesses', count(*) from {_HIS} where memory_id is null or memory_id not in (select id from m where access_count = 0)",
+    "consolidation_status": _M + f", {episode_sql('select nullif(' + _P + ", '') k, id, created_at t from m")}, z as (select k, run, part, count(*) n, max(t) ended from ep group by 1, 2, 3 order by ended desc, k, run, part limit 5) select count(*) memories, count(*) filter (where encoding_strength < 0.1) weak, round(avg(encoding_strength), 6) mean_strength, {', '.join(f"count(*) filter (where consolidation_state = '{x}') {x}" for x in _STATES)}, count(*) filter (where id not in (select memory_id from {_VALID_EMB})) pending, (select string_agg(n, ',' order by ended desc, k, run, part) from z) newest_episodes from m",
+    "store_stats": _M + f", v as {own_sql('visual_memories', 'embedding')} select 'memories' what, count(*) n from m union all select 'embeddings', count(*) from {_VALID_EMB} union all select 'projects', count(distinct id) from projects union all select 'visual_memories', count(*) from v union all select 'visual_embeddings', count(*) from v where embedding is not null union all select 'accesses', count(distinct id) from access_history union all select 'pending', count(*) from m where id not in (select memory_id from {_VALID_EMB}) union all select 'pending_visuals', count(*) from v where embedding is null union all select 'bytes', coalesce(sum(strlen(content)), 0) from m",
+    "project_rollup": _M + f", k as (select {_P} project, type, created_at t, id from m where {_P} <> ''), f as (select project, type, min((t, id)) x from k where type is not null group by 1, 2), s as (select project, string_agg(type, ',' order by x, type) types_seen from f group by 1), n as (select project, count(*) memories, max(t) \"last\" from k group by 1) select n.project, memories, \"last\", types_seen from n left join s using (project)",
+    "project_rollup_tags": f"with m as {own_sql('memories', 'project_id, tags')}, t as (select distinct {_P} project, unnest(json_extract_string(tags, '$[*]')) tag from m where {_P} <> '' and json_valid(tags) and tags like '[%') select project, string_agg(tag, ',' order by tag) all_tags from t where tag is not null group by 1",
+    "forget_cascade": _M + f", g as (select id from m where access_count = 0), v as {own_sql('visual_memories', 'embedding, access_count')} select 'embeddings' what, count(*) n from {_VALID_EMB} where memory_id not in (select id from g) union all select 'accesses', count(*) from {_HIS} where memory_id is null or memory_id not in (select id from g) union all select 'associations', count(*) from m a join m b on a.id < b.id and substring(a.id, 1, 3) = substring(b.id, 1, 3) where a.id not in (select id from g) and b.id not in (select id from g) union all select 'events', count(*) from m where created_at is not null and id not in (select id from g) union all select 'visual_embeddings', count(*) from v where embedding is not null and access_count is distinct from 0",
     "prune_oldest": _M + "select id from m order by coalesce(last_accessed, created_at) nulls first, access_count nulls first, id limit 1000",
     "micro_strengthen": _M + f"select id, round(least(encoding_strength * 1.1, 1), 6) strength from m where last_accessed >= {NOW - 7 * 86_400_000}",
     "micro_decay": _M + f"select id, round(greatest(encoding_strength * 0.98, 0.1), 6) strength from m where (last_accessed is null or last_accessed < {NOW - 7 * 86_400_000}) and encoding_strength > 0.1",
-    "state_transitions": _M + f"select id, case when consolidation_state = 'fresh' and {NOW} - created_at > 86400000 then 'consolidated' when consolidation_state = 'fresh' and {NOW} - created_at > 3600000 then 'consolidating' when consolidation_state = 'consolidating' and {NOW} - created_at > 86400000 then 'consolidated' when consolidation_state = 'reconsolidating' and {NOW} - last_consolidated > 86400000 then 'consolidated' else consolidation_state end state from m",
-    "working_memory": _M + f", w as (select {_P} p, id, last_accessed, row_number() over (partition by {_P} order by last_accessed desc, id) k from m where {_P} <> '' and last_accessed is not null), x as (select *, max(last_accessed) over (partition by p) top from w where k <= 7) select p project, id, k from x where top - last_accessed <= 86400000",
-    "prp_modifier": _M + f", x as (select id, created_at, max(case when emotional_weight >= 0.8 then created_at end) over (partition by {_P} order by created_at, id rows between unbounded preceding and 1 preceding) l from m where {_P} <> '' and created_at is not null) select id, round(case when l is null or 0.3 * pow(0.5, (created_at - l) / 5400000.0::double) < 0.01 then 0 else 0.3 * pow(0.5, (created_at - l) / 5400000.0::double) end, 6) boost from x",
-    "visual_list": _V + "select id, received_at from v where media_type = 'image' and significance >= 0.5 order by received_at desc nulls last, id limit 50",
-    "location_find": f"select id from {own_sql('visual_memories', 'original_path, description')} where original_path ilike '%cam%' or description ilike '%red%'",
+    "visual_list": _V + "select id, received_at from v where media_type = 'image' and significance >= 0.5 and shared_by = 'user' order by received_at desc nulls last, id limit 50",
 }

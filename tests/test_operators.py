@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from mnemora.config import RetrievalConfig
 from mnemora.engine import Engine
-from mnemora.operators.coaccess import co_access_by_task, co_access_by_time, locations
+from mnemora.operators.coaccess import co_access_by_task, co_access_by_time, co_access_strength, locations
 from mnemora.operators.episodes import episodes, links
 from mnemora.operators.frames import even_frames, select_frames
 from mnemora.operators.graph import pagerank, shortest_path, spread
@@ -59,12 +59,17 @@ def test_locations(spark):
     a = spark.createDataFrame([("p", "x", True, "first", 1), ("p", "x", False, "later", 2), (None, "y", None, None, 3), ("p", None, True, "c", 4)], "project string, path string, direct boolean, context string, at bigint")
     got = {(r.project, r.path): r for r in locations(a).collect()}
     assert got["p", "x"].accesses == 2 and got["p", "x"].saved == 1 and got["p", "x"].description == "first" and got["", "y"].saved == 0
-    t = spark.createDataFrame([("p", 1, "x", "r"), ("p", 1, "y", "r"), ("p", 1, "x", "r"), ("p", 2, "x", "w"), ("p", 2, "z", "r")], "project string, task int, path string, activity string")
-    s = {(r.a, r.b): r.strength for r in co_access_by_task(t).collect()}
-    assert s == {("x", "y"): pytest.approx(1 / 3), ("x", "z"): pytest.approx(1 - 1 / 1.3)}
+    t = spark.createDataFrame([("p", 1, "x", "r", 1, 1), ("p", 1, "y", "r", 2, 2), ("p", 2, "x", "w", 3, 3), ("p", 2, "z", "r", 4, 4), ("p", 3, "y", "r", 5, 5), ("p", 3, "x", "r", 6, 6), (None, 3, "x", "r", 7, 7), ("p", None, "x", "r", 8, 8)], "project string, task int, path string, activity string, at bigint, id bigint")
+    s = {(r.a, r.b): (r.n, r["count"], r.strength) for r in co_access_strength(co_access_by_task(t)).collect()}
+    # the first of two co-accesses counts 1, the second its weight of 5
+    assert s == {("x", "y"): (2, 6.0, pytest.approx(0.375)), ("x", "z"): (1, 1.0, pytest.approx(1 - 1 / 1.3))}
+    many = spark.createDataFrame([("p", 1, f"f{k}", "r", k, k) for k in range(6)], "project string, task int, path string, activity string, at bigint, id bigint")
+    assert co_access_by_task(many, reach=2).count() == 5 + 4
     h = 3_600_000
-    n = spark.createDataFrame([("p", "x", h - 1, 1), ("p", "y", h, 2), ("p", "z", 2 * h - 1, 3), ("p", "y", 2 * h, 4), ("p", "x", h - 1, 5)], "project string, path string, at bigint, id bigint")
-    assert {(r.a, r.b): r.n for r in co_access_by_time(n).collect()} == {("x", "y"): 2, ("y", "z"): 2}
+    n = spark.createDataFrame([("p", "x", h - 1, 1, "s"), ("p", "y", h, 2, "s"), ("p", "z", 2 * h - 1, 3, "s"), ("p", "y", 2 * h, 4, None), ("p", "x", h - 1, 5, "s")], "project string, path string, at bigint, id bigint, session string")
+    got = {(r.a, r.b): (r.n, r["count"]) for r in co_access_strength(co_access_by_time(n)).collect()}
+    assert got == {("x", "y"): (2, 2.5), ("y", "z"): (2, 2.0)}
+    assert co_access_by_time(n, reach=1).count() == 3 and co_access_by_time(n.filter("false")).count() == 0
 
 
 def test_frames(spark):
