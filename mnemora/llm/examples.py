@@ -1,4 +1,4 @@
-"""The labelled table that the personal-data model is trained on.
+"""The labelled table that the personal-data model is trained on, written without regard to any corpus.
 
 Each line is a sentence whose places hold a kind: {name}, {email}, {phone}, {id_number} and {address} are personal,
 {c} a component, {r} a reference, {n} a number are not.  The places are filled by rule, so one line makes many labelled
@@ -12,140 +12,172 @@ import random
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 SENTENCES = """
-Thanks to {name} for finding the lock order bug in {c}.
-According to {name} the cache of {c} was never reviewed.
-Spoke with {name} after lunch: {c} should drop the old format.
-Spoke with {name} in the review: {c} should quietly drop the event loop.
-Spoke with {name} while on call: {c} should again drop the retry budget.
-Ask {name} at {email} before touching {c}.
-Ask {name} about {c}, mail {email}.
-{name} called from {phone} about {c} and build {n}.
-{name} wants {c} back on {n} rows so new hires can run it locally.
-{name} wrote to {email} and asked for {r}.
-Backup contact for {c} is {name} (mobile {phone}).
-Backup contact for {c} is {name} ({email}).
-Form {r} lists {name}, {address}, {id_number}.
-Form {r} lists {name}, {address}, {idlabel} {id_number}.
-Customer record behind {r}: {name}, {idlabel} {id_number}, {phone}.
-Customer record behind {r}: {name}, {address}, {phone}.
-Customer record behind {r}: {name}, {id_number}, {phone}.
-Record of {r}: {name}, {idlabel}: {id_number}, {phone}.
-The payload {"user": "{email}", "tel": "{phone}"} broke {c} late.
-The payload {"name": "{name}", "tel": "{phone}"} broke {c} again.
-The fixture for {c} has a row like {name};{email};{phone};{n}.
-A row like {name};{phone};{n} is in the fixture for {c}.
-Reporter of {r} lives at {address} and can be reached under {phone}.
-Reporter of {r} lives at {address} and can be reached at {email}.
-Courier left the spare router for {c} at {address}, signed by {name}.
-Courier left the old router for {c} at {address}.
-Please ship the spare disk for {c} to {address} by Friday.
-User said: my number is {phone} and I moved to {address}, please update {c}.
-User: User said: my number is {phone} and I moved to {address}, please update {c}.
-Assistant: Verify {idlabel} {id_number} by hand before {c} imports {n} rows.
-Verify {idlabel} {id_number} by hand before {c} imports {n} files.
-Verify {idlabel}: {id_number} by hand before {c} imports {n} MB.
-Screenshot for {r} shows {idlabel} {id_number} and the address {address} in plain text.
-Screenshot for {r} shows {idlabel}: {id_number} in plain text.
-Screenshot for {r} shows {id_number} and the address {address} in plain text.
-Invoice address in {c} reads {address}, which is a home address.
-The invoice address in {c} reads {address}.
-No answer on {phone}; the report on {c} went to {email} instead.
-No answer on {phone}; the report on {c} went to <{email}> instead.
-Ring {phone} if {c} shows a blank page after hours.
-Call {phone} or {email} when {c} is down.
-Signed off by {name} for {c}, build {n}.
-Signed off by {name}.
-Meeting on Monday: {name}, {name} and the owner of {c}.
-Meeting before the freeze: {name} and the owner of {c}.
-Meeting two days ago: {name}, {name} and the owner of {c}.
-Meeting in the review: {name}, {name}, {name}.
-Present: {name}; {name}; {name}.
-{email} reported a red build in {c}, {r}.
-{email} reported stale results in {c}, {r}.
-{email} reported high load at idle in {c}, {r}.
-Logs of {c} were mailed to {email} by mistake, {n} rows in all.
-Log line of {c} leaked {email} next to {idlabel} {id_number}.
-Log line of {c} leaked {email} next to {idlabel}: {id_number}.
-Log line of {c} leaked {email} next to {id_number}.
-A dump of {c} leaked {email}, {phone} and {id_number}.
-The test account of {c} still carries {idlabel} {id_number} from a real form.
-The old seed of {c} still carries {id_number} from a real form.
-The demo tenant of {c} still carries {idlabel}: {id_number} from a real form.
-Form {r} lists {name}, {address}, {idlabel}: {id_number}.
-Customer record behind {r}: {name}, {idlabel}: {id_number}, {phone}.
-Customer record behind {r}: {name}, {id_number}, {phone}.
-Copied {email} and {email} on {r}.
-{n} rows of {c} were mailed to {email} by mistake.
-Reviewed by {name} and {name}.
-Pairing with {name} on {c}.
-User: {name} and {name} own {c}.
-Mail from {email}: {c} is slow.
-Mail {email} before {n}.
-cc {email}, {email}
-Send the log to {email} and keep {r} open.
-Contact: {name}, {email}, {phone}
-Phone {phone}, address {address}
-{name}
-{name} ({email})
-{address}
-Moved to {address} last week.
-Root cause of {r} was the schema: {c} never released it after {n} commits.
-Run {run} of Project Blue Lantern took {n} pages.
-Run {run} of Project Quiet Meadow took {n} rows.
-Green Harbor and Falcon Gateway share shard {n} with {c}.
-Silver Anchor and Copper Bridge share shard {n} with {c}.
-Two Way Binding in {c} broke after step {n}.
-Single Page Router in {c} broke after step {n}.
-Lazy Loading in {c} broke after step {n}.
-The @Retry decorator on {c} swallowed error {n}.
-The @Cached decorator on {c} swallowed error {n}.
-User: The @Retry decorator on {c} swallowed error {n}.
-Pinned {c}@{version} and rebuilt image {n}.
-Upgraded {c}@{version} to {c}@{version}.
-Ticket {ticket} stays open until build {version} lands.
-Order REQ-{ticket} was replayed through {c}.
-Invoice REQ-{ticket} was booked twice, see {r}.
-Checksum {hex} of {c} matched batch {n}.
-Drive {n} failed, rack {n} row {n}, replaced by spare {hex}.
-Port {n} of {c} answers on {ip} since build {n}.
-Opened port {n} on {ip} for {c}.
-{c} listens on {ip}:{n} and logs {n} rows.
-Option {n} won: {c} owns the feature flag, {c} only reads it.
-Raised the retry budget from {n} to {n} seconds and {c} recovered.
-[{clock}] INFO {c} flushed {n} rows
-level=warn svc={c} took={n} msg="silent timeouts"
-error: {c} exited with {n} after {n} rows
-at {c}.run({c}:{n})
-TODO {c}: schema, silent timeouts, build {n}
-{c} -> {c}: {n} seconds
-{"svc": "{c}", "limit": {n}, "state": "hidden"}
-Who still needs the lock order of {c} once {r} lands?
-After {r} the schema lives in {c}/{c} and takes {n} pages.
-For {r} we agreed that {c} may drop up to {n} MB.
-Update: {c} now uses {n} rows per run, down from {n}.
-Der Fehler in {c} tritt erst ab {n} Zeilen auf, siehe {r}.
-Le correctif de {c} dépend de {c}, voir {r}.
-Für {c} gilt weiterhin das alte Format, {c} übersetzt {n} Felder.
-Nobody should edit the lint rule of {c} without checking line {n} of its notes.
-MOVED THE LOCK ORDER OUT OF {C} INTO {C} SO THAT REVIEWERS CAN FOLLOW THE CHANGE.
-ROOT CAUSE OF {r} WAS THE FEATURE FLAG: {C} NEVER RELEASED IT AFTER {n} WORKERS.
-UPDATE: CUSTOMERS ON THE {C} TIER SAW REORDERED EVENTS, ROUGHLY {n} SECONDS EACH.
-Version {version} shipped on {date}, {n} files changed.
-Meeting on {date} at {clock}, room {n}.
-We shipped {n} units of part {ticket} on {date}.
-SPENT THE AFTERNOON ON AN ENDLESS RETRY; IN THE END {C} WAS POINTING AT THE WRONG {C}.
-RAISED THE UPLOAD FORM FROM {n} TO {n} FILES AND {C} RECOVERED AGAIN! TURNING OFF THE TOOLTIP TEXT MADE {C} FASTER.
-- [ ] tune audit trail of {c} to {n}
-- [x] drain {c}
-- [X] DRAIN {C}
-Paired last night on {c}; the old schema came from revision {n}.
-Tests for {c} pass locally and fail on Monday with lost edits in shard {n}.
-Learned that {c} reads its schema only once, so a reload needs {n} MB.
-Benchmarks on Monday showed {n} retries for {c} against {n} for {c}.
+Dear {name}, your appointment has been moved to Thursday.
+Kind regards, {name}
+Best wishes from {name} and {name}
+Yours sincerely, {name}, head of purchasing
+The keys were handed over to {name} this morning.
+{name} will take over the night shift from {name}.
+I met {name} at the fair; the card says {email}.
+Could you forward this to {name}, please? The number is {phone}.
+Our landlord {name} can be called on {phone} between nine and five.
+New tenant: {name}, {address}, {phone}
+Patient {name}, born in spring, {idlabel} {id_number}, was sent home.
+Guardian: {name}. Telephone: {phone}. Mail: {email}.
+Applicant {name} ({idlabel} {id_number}) lives at {address}.
+The parcel for {name} went to {address} instead.
+Deliver to: {name}, {address}
+Bill to {address}; attention {name}.
+Their office moved from {address} to {address}.
+The site visit is at {address}, ask for {name}.
+We parked in front of {address} and waited.
+Return label: {address}
+Home: {address}. Mobile: {phone}.
+Emergency number of the caretaker: {phone}
+Fax {phone}, phone {phone}
+Text me on {phone} or write to {email}
+My new number is {phone}.
+Reach the help desk under {phone}, or {email} at night.
+Caller {phone} asked about order {ticket} twice.
+The caller from {phone} hung up; {name} tried {phone} again.
+Newsletter bounced for {email} and {email}
+Subscription of {email} ends in {n} days.
+From: {email}
+To: {name} <{email}>
+Reply-To: {email}
+user={email} ip={ip} status={n}
+login failed for {email} from {ip}, attempt {n}
+{email} opened {r} and attached a trace.
+Account {email} was merged with {email}, {n} rows changed.
+Please add {email} to the list and remove {email}.
+Signed in as {email}
+Passenger {name}, {idlabel} {id_number}, seat {n}
+The clerk noted {idlabel}: {id_number} on the form.
+Enter your {idlabel} ({id_number}) in field {n}.
+{idlabel} {id_number} expired last May.
+A copy with {idlabel} {id_number} is in the folder of {name}.
+Someone typed {id_number} into the comment field of {r}.
+The export has {id_number}, {name} and {email} in one row.
+Found {id_number} and {phone} in the cache of {c}.
+id={id_number} tel={phone} mail={email}
+{"contact": "{name}", "phone": "{phone}", "mail": "{email}"}
+{"holder": "{name}", "document": "{id_number}", "street": "{address}"}
+{"to": "{email}", "retries": {n}}
+{name};{address};{phone}
+{name},{email},{phone},{n}
+{name} | {phone} | {r}
+Attendees: {name}, {name}, {name}
+Attendees: {name}; {name}
+Minutes by {name}, approved by {name}
+Author: {name}
+Assigned to {name} since Monday.
+Owner of {c}: {name}, deputy {name}
+{name} fixed {r} in {c} and {name} tested it.
+{name} suggested {n} retries for {c}.
+{name} and {name} argue over {r}.
+{name} found the cause: {c} kept {n} sockets open.
+It was {name} who raised {n} to {n}.
+The change by {name} breaks {c}.
+Credit goes to {name} for the chart.
+Let {name} know when {c} is back.
+We promised {name} an answer on {r} by noon.
+Interview with {name}: prefers {c} over {c}.
+Question from {name}: does {c} need {n} threads?
+As {name} said, {r} can wait.
+On call this week: {name} ({phone})
+Escalate to {name}, {email}, after {n} minutes.
+{name} is on leave; write to {email}.
+For access ask {name} or mail {email}.
+Written by {name} on {date}
+cc {name}, {name}
+{name}: {c} is slow again
+{name} (owner)
+{name}, {idlabel} {id_number}
+{idlabel}: {id_number}
+{idlabel} no {id_number}, {address}
+Address on file: {address}, {idlabel} on file: {id_number}
+He gave {address} as place of residence.
+She lives near {address} and works for {name}.
+The flat at {address} is empty.
+Visit us: {address}.
+Write to {address} or call {phone}.
+KINDLY INFORM {name} ABOUT {C}.
+CALL {phone} AND ASK FOR {name}.
+Herr {name} wohnt in {address}.
+Bitte rufen Sie {phone} an oder schreiben Sie an {email}.
+Frau {name} hat {r} gemeldet.
+Adresse: {address}, Telefon {phone}
+Madame {name} habite {address}.
+Merci de contacter {name} au {phone} ou {email}.
+Sprint goal: move {c} to release {version}.
+Milestone Amber Falcon slipped by {n} days.
+Project Northern Kite needs {n} reviewers.
+The codenames Crystal Lake and Iron Valley refer to {c}.
+Hidden Meadow, Stone Arch and Velvet Dawn are internal products.
+Release Golden Acorn ships with {c} {version}.
+We compared Night Heron with Paper Crane on {n} rows.
+Team Orange Comet owns {c}.
+Our Content Delivery Network dropped {n} packets.
+The Dependency Injection container of {c} is built twice.
+Garbage Collection took {n} ms in {c}.
+Use Continuous Integration for {c}, see {r}.
+Event Sourcing and Blue Green Deployment were discussed.
+Domain Driven Design helped {c}.
+Write Ahead Logging is on since build {n}.
+Annotate {c} with @Override and @Deprecated.
+The @Inject field of {c} is null in line {n}.
+@Transactional on {c} rolled back {n} rows
+npm install {c}@{version}
+Bumped {c}@{version} and {c}@{version} in one commit.
+Image {c}:{version} pulled, digest {hex}
+commit {hex} reverts {hex}
+sha {hex} does not match {hex}
+Part number {ticket} is out of stock.
+Order {ticket} has {n} items, invoice REQ-{ticket} is open.
+Tracking code REQ-{ticket} was scanned on {date}.
+Serial {hex}, firmware {version}, bay {n}
+Room {n}, floor {n}, rack {n}
+Build {run} passed, build {run} failed.
+Job {run} wrote {n} files on {date} at {clock}.
+Connect to {ip} on port {n} within {n} seconds.
+Forward port {n} to {ip}:{n}.
+Latency of {c} rose from {n} ms to {n} ms on {date}.
+[{clock}] ERROR {c} timed out after {n} ms
+{date} {clock} WARN {c}: queue length {n}
+level=info svc={c} rows={n} took={n}
+at {c}.handle({c}:{n})
+GET /api/{c}/{n} {n} {n}
+{"service": "{c}", "port": {n}, "version": "{version}"}
+- [ ] document {c}
+- [x] migrate {c} to {version}
+# Notes on {c}
+TODO: split {c} into {c} and {c}, see {r}
+IMPORTANT: RESTART {C} BEFORE {r} IS CLOSED.
+WE LOWERED THE LIMIT OF {C} FROM {n} TO {n}.
+Monday and Tuesday are blocked; Wednesday is free.
+In January we had {n} incidents, in March {n}.
+The English, German and French texts of {c} differ.
+Windows and Linux builds of {c} differ by {n} bytes.
+Decision: keep {c} on the old schema for {n} weeks.
+Why does {c} retry {n} times? See {r}.
+Restarting {c} frees {n} MB, at least for an hour.
+It seems that {c} and {c} share {n} locks.
+I think the timeout of {c} is too short; {n} s would do.
+Wir haben {c} auf {n} Threads begrenzt, siehe {r}.
+Die Datei von {c} hat {n} Zeilen und {n} Spalten.
+Nous avons limité {c} à {n} lignes, voir {r}.
+La version {version} de {c} corrige {r}.
+After the outage {c} came back with {n} replicas.
+Nothing to add.
+Look at {c} at once.
+{c} fails at random when traffic is at its peak.
+Load peaks at night, at least on {c}.
+They met at noon and left at {clock}.
+The pump stalls at startup.
 """.strip().split("\n")
 
 #: Words before a sentence, which begin with a capital and are no names.
-OPENERS = ("Also,", "Oddly,", "However,", "Anyway,", "Finally,", "Meanwhile,", "Luckily,", "Sadly,", "Again,", "Then,", "Reminder:", "Update:", "Heads-up:", "Done:", "FYI:", "In short,", "So far", "By the way,", "For the record,", "Note for later:", "Note to self:", "My guess is that", "User:", "Assistant:")
+OPENERS = ("Also,", "Still,", "However,", "Next,", "Finally,", "Meanwhile,", "First,", "Later,", "Today", "Yesterday", "Note:", "Warning:", "Question:", "Answer:", "Status:", "Customer:", "Agent:", "PS:", "Moreover,", "Therefore,", "Unfortunately,", "Apparently,")
 
 #: Words of streets and places behind which an address is known (fixed forms).
 STREETS = "Street Road Avenue Lane Court Way Terrace Drive Square Close Place Crescent St. Rd Ave. Rd. St Ave Ln".split()
@@ -156,6 +188,34 @@ LABELS = {"ssn": ("SSN", "social security number", "SSN"), "passport": ("passpor
 _SYLLABLES = "ba bel cor da dor el fa gor hal in jo ka lor mi nar os pel qui ros sa tor ul vek wen yar zan".split()
 
 
+#: Places of a mixed line, with how often they come (fixed values).
+_MIXED = ("{name}", "{name}", "{email}", "{phone}", "{phone}", "{id_number}", "{id_number}", "{idlabel} {id_number}", "{idlabel} {id_number}", "{idlabel}: {id_number}", "{address}", "{c}", "{c}", "{r}", "{n}", "{n}", "{version}", "{hex}", "{ip}", "{date}", "{clock}")
+
+
+def mixed_lines(lines: list[str], count: int, seed: int = 23) -> list[str]:
+    """Lines without sense: words of the table in any order, with places and pairs of capitalised words among them.
+
+    They show each kind and each look-alike in every surrounding, so that the shape of a mention is learnt and not the
+    sentences of the table.
+    """
+    r = random.Random(seed)
+    words = sorted({w for line in lines for w in line.replace("{", " {").replace("}", "} ").split() if w.isalpha() and w.islower()})
+    out = []
+    for _ in range(count):
+        parts = [r.choice(words) for _ in range(r.randint(3, 9))]
+        if r.random() < 0.5:
+            parts[0] = parts[0].capitalize()
+        for _ in range(r.choice([1, 1, 2])):
+            at = r.randint(0, len(parts))
+            pair = " ".join(r.choice(words).capitalize() for _ in range(r.choice([2, 2, 3])))
+            parts.insert(at, pair if r.random() < 0.15 else r.choice(_MIXED))
+        if r.random() < 0.4:
+            at = r.randrange(len(parts))
+            parts[at] += r.choice([",", ":", ".", ";", " (", " -"])
+        out.append(" ".join(parts) + r.choice(["", ".", ".", "?"]))
+    return out
+
+
 class Filler:
     """Fills the places of a line; ``people`` are (given name, family name)."""
 
@@ -232,7 +292,7 @@ class Filler:
     def address(self) -> str:
         r, d = self.r, self._digits
         place, town, street, house = r.choice(PLACES), r.choice(TOWNS), r.choice(STREETS), str(r.randint(1, 299)) + ("" if r.random() < 0.85 else r.choice("AB"))
-        end = r.choice(["", f", {town}", f", {town} {d(5)}", f", Apt {r.randint(1, 40)}, {town}"])
+        end = r.choice(["", "", f", {town}", f", {town} {d(5)}", f", Apt {r.randint(1, 40)}, {town}"])
         return r.choice([
             f"{house} {place} {street}{end}", f"{house} {place} {street}{end}", f"{place}straße {house}, {d(5)} {town}", f"{house}, rue de {place}, {d(5)} {town}", f"P.O. Box {r.randint(1, 299)}, {town}", f"{place} {street} {house}, {d(5)} {town}", f"{place} {street} {house}, {d(5)} {town}", f"{place}str. {house}, {d(5)} {town}",
         ])
@@ -251,7 +311,7 @@ class Filler:
             "r": lambda: f"{r.choice(['ISS', 'BUG', 'OPS', 'RFC'])}-{r.randint(1000, 99999)}",
             "n": lambda: str(r.randint(1, 10 ** r.randint(1, 5))),
             "run": lambda: f"202{d(5)}-{r.randint(10, 99999)}",
-            "version": lambda: ".".join(str(r.randint(0, 10 ** r.randint(1, 4))) for _ in range(3)),
+            "version": lambda: ".".join(str(x) for x in (r.choice([r.randint(0, 40), r.randint(0, 40), r.randint(2015, 2030), r.randint(1000, 19999)]), r.randint(0, 60), r.randint(0, 300))),
             "ticket": lambda: f"{r.randint(10, 99999)}-{d(2)}-{r.randint(1000, 99999)}",
             "hex": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([7, 14, 32]))),
             "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),

@@ -8,25 +8,32 @@ trained from the labelled table in :mod:`mnemora.llm.examples` by maximum likeli
 
 from __future__ import annotations
 
+import random
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.examples import KINDS, OPENERS, SENTENCES, STREETS, TITLES, Filler
+from mnemora.llm.examples import KINDS, OPENERS, SENTENCES, STREETS, TITLES, Filler, mixed_lines
 
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 REACH = (-2, -1, 0, 1, 2)
-#: Labelled sentences made of each line of the table; known people that the model is trained with at most.
-COPIES, MOST_PEOPLE = 40, 20_000
+#: Labelled sentences made of each line of the table, and lines of words without sense; known people that teach the model at most (all are known to it
+#: when it marks texts); part of the words in a training sentence that are shown by their shape only.
+COPIES, MIXED, MOST_PEOPLE, HIDDEN = 30, 3_000, 20_000, 0.35
+PEOPLE_BYTES = 64_000_000
+#: Places of the table of words that the texts have in lower case, and how often at least.
+CASE_BITS, CASE_LEAST = 20, 2
 _NEVER = -1e4
 
 TOKEN = re.compile(r"\w+(?:[-._'’/+@]+\w+)*|[^\w\s]")
 _EMAIL = re.compile(r"[\w+.-]*\w@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}$", re.I)
 _AT_VERSION = re.compile(r".*@\d")
+_LOWER = re.compile(r"(?<![\w@.+-])[^\W\d_A-Z]{2,}(?![\w@-])")
 
 
 def affixes(names: set[str]) -> tuple[set[str], set[str]]:
@@ -36,9 +43,10 @@ def affixes(names: set[str]) -> tuple[set[str], set[str]]:
 class Keys:
     """Keys of tokens, given the known people and the context words."""
 
-    def __init__(self, people: list[tuple[str, str]], words: set[str]):
+    def __init__(self, people: list[tuple[str, str]], words: set[str], common: np.ndarray | None = None):
         self.given = {g.lower() for g, _ in people}
         self.family = {f.lower() for _, f in people}
+        self.common = common
         self.given_parts, self.family_parts = affixes(self.given), affixes(self.family)
         self.words = words
         self.streets = {s.lower().rstrip(".") for s in STREETS}
@@ -62,7 +70,8 @@ class Keys:
         """Whether a part of it is a known name, or is made like one."""
         return any(self._person(p) for p in re.split(r"[\W_]+", mention.lower()) if len(p) > 1)
 
-    def key(self, token: str) -> str:
+    def key(self, token: str, hidden: bool = False) -> str:
+        """The key of a token; ``hidden`` shows a context word or a known name by its shape only, as an unknown one."""
         if "@" in token:
             return "<email>" if _EMAIL.match(token) else "<version>" if _AT_VERSION.match(token) else "<@>"
         if any(map(str.isdigit, token)):
@@ -89,14 +98,20 @@ class Keys:
         if lower in self.streets:
             return "<street>" + case + lower[:2]
         parts = re.split(r"[-'’]", lower)
-        flags = "".join(sorted(set("".join(self._person(p) for p in parts)))) if case != "x" else ""
+        flags = "".join(sorted(set("".join(self._person(p) for p in parts)))) if case != "x" and not hidden else ""
         if "_" in token or "." in token or "/" in token or ("-" in token and case == "x"):
             return "<component>" if case == "x" or not flags else "<component>" + case
-        if lower in self.words and not (set(flags) & set("GF")):
+        usual = "c" if case != "x" and self.common is not None and self.common[_case_slot(lower)] else ""
+        if not hidden and lower in self.words and not (set(flags) & set("GF")):
             return lower + ("" if case == "x" else "^" + case)
         if case == "x":
             return "<word>"
-        return f"<{case}{'-' if '-' in token else ''}{flags}>"
+        return f"<{case}{'-' if '-' in token else ''}{flags}{usual}>"
+
+    def taught(self, tokens: list[str], chance: random.Random) -> list[int]:
+        """Numbers of the keys of a training sentence, some of its words hidden."""
+        keys = [self.key(t, chance.random() < HIDDEN) for t in tokens]
+        return [self.number.setdefault(k, len(self.number)) for k in keys]
 
     def numbers(self, tokens: list[str]) -> list[int]:
         known, out = self._known, []
@@ -116,6 +131,40 @@ class Keys:
         return out
 
 
+def _case_slot(word: str) -> int:
+    return zlib.crc32(word.encode()) & ((1 << CASE_BITS) - 1)
+
+
+def _lower_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places and counts of the words that stand in lower case."""
+    counts: dict[str, int] = {}
+    slots = np.zeros(1 << CASE_BITS, np.int32)
+
+    def settle() -> None:
+        for word, n in counts.items():
+            slots[_case_slot(word)] += n
+        counts.clear()
+
+    for batch in batches:
+        for column in batch.columns:
+            for text in column.to_pylist():
+                for word in _LOWER.findall(text or ""):
+                    counts[word] = counts.get(word, 0) + 1
+        if len(counts) > 300_000:
+            settle()
+    settle()
+    used = np.flatnonzero(slots)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(slots[used].astype(np.int64))], names=["slot", "n"])
+
+
+def common_words(texts: DataFrame, fields: tuple[str, ...]) -> np.ndarray:
+    """Of each place: whether a word of it stands in lower case in the texts, counted over all of them."""
+    found = texts.select(*fields).mapInArrow(_lower_words, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= CASE_LEAST)
+    table = np.zeros(1 << CASE_BITS, bool)
+    table[found.select("slot").toArrow()["slot"].to_numpy()] = True  # no more rows than the table has places
+    return table
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
@@ -231,9 +280,10 @@ class Field:
         return out
 
 
-def train(people: list[tuple[str, str]], copies: int = COPIES) -> tuple[Keys, Field]:
-    filler = Filler(people)
-    made = [filler.sentence(line) for line in SENTENCES for _ in range(copies)]
+def train(people: list[tuple[str, str]], copies: int = COPIES, lines: Sequence[str] = tuple(SENTENCES), common: np.ndarray | None = None) -> tuple[Keys, Field]:
+    """Keys and weights learnt from sentences made of ``lines``; MOST_PEOPLE of ``people`` are in them, all are known."""
+    filler = Filler(people[:: max(1, -(-len(people) // MOST_PEOPLE))])
+    made = [filler.sentence(line) for line in (*(x for x in lines for _ in range(copies)), *mixed_lines(list(lines), MIXED))]
     # sentences stand together in a text, or alone
     texts: list[tuple[str, list[tuple[int, int, str]]]] = []
     while made:
@@ -245,7 +295,7 @@ def train(people: list[tuple[str, str]], copies: int = COPIES) -> tuple[Keys, Fi
             text += part
         texts.append((text, spans))
     counts: dict[str, int] = {}
-    for line in (*SENTENCES, *OPENERS):
+    for line in (*lines, *OPENERS):
         for w in TOKEN.findall(re.sub(r"\{[a-zA-Z_]+\}", " ", line)):
             if w.isalpha():
                 counts[w.lower()] = counts.get(w.lower(), 0) + 1
@@ -253,7 +303,7 @@ def train(people: list[tuple[str, str]], copies: int = COPIES) -> tuple[Keys, Fi
         counts[w] = 1
     for w in TITLES:
         counts[w.lower().rstrip(".")] = 1
-    keys = Keys(people, set(counts))
+    keys, chance = Keys(people, set(counts), common), random.Random(3)
     coded, gold = [], []
     for text, spans in texts:
         tokens = list(TOKEN.finditer(text))
@@ -263,7 +313,7 @@ def train(people: list[tuple[str, str]], copies: int = COPIES) -> tuple[Keys, Fi
             inside = np.flatnonzero((starts >= a) & (starts < b))
             label[inside] = LABELS.index(f"I-{kind}")
             label[inside[:1]] = LABELS.index(f"B-{kind}")
-        coded.append(keys.numbers([m.group() for m in tokens]))
+        coded.append(keys.taught([m.group() for m in tokens], chance))
         gold.append(label)
     keys.number.setdefault("<?>", len(keys.number))
     sizes = np.array([len(c) for c in coded])
@@ -290,7 +340,7 @@ def holds(kind: str, mention: str) -> bool:
     if kind == "id_number":
         return 6 <= digits <= 14
     if kind == "email":
-        return "@" in mention or re.search(r"\bat\b", mention, re.I) is not None
+        return "@" in mention or re.search(r"\bat\b.*(?:\bdot\b|\.)", mention, re.I) is not None
     if kind == "address":
         return digits > 0 and any(map(str.isalpha, mention))
     return digits == 0 and any(map(str.isupper, mention)) and len(mention) > 2
@@ -343,13 +393,17 @@ def personal_data(texts: DataFrame, people: DataFrame, fields: tuple[str, ...] =
     (``[EMAIL]``, ``[PHONE]``, ...) in place of each mention, otherwise unchanged.  Places are 0-based code points.
 
     Defined results: a null or an empty text has no mentions and stays as it is; rows come out as often as they come
-    in; people with a null or blank name are left out, and at most MOST_PEOPLE of them (the first by name) teach the
-    model; texts are read whole; other columns are ignored.
+    in; people with a null or blank name are left out; all others are known when texts are marked, and MOST_PEOPLE of
+    them at most teach the model; texts are read whole; other columns are ignored.  The table of people is sent to
+    all tasks and must not have more than PEOPLE_BYTES of names.
     """
     spark = texts.sparkSession
     known = people.select("given_name", "family_name").filter("trim(given_name) != '' and trim(family_name) != ''").distinct()
-    chosen = [tuple(r) for r in known.orderBy("given_name", "family_name").limit(MOST_PEOPLE).collect()]
-    sent = spark.sparkContext.broadcast(train(chosen))
+    size = known.agg(F.sum(F.octet_length("given_name") + F.octet_length("family_name"))).first()[0] or 0
+    if size > PEOPLE_BYTES:
+        raise ValueError(f"{size} bytes of names; at most {PEOPLE_BYTES} can be sent to all tasks")
+    chosen = sorted(tuple(r) for r in known.collect())  # of a checked size
+    sent = spark.sparkContext.broadcast(train(chosen, common=common_words(texts, fields)))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(*sent.value)

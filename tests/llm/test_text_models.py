@@ -8,13 +8,17 @@ from mnemora.llm.truncation import cut_texts
 PEOPLE = [("Alda", "Brookwell"), ("Corin", "Danesby"), ("Elvira", "Fenwick"), ("Garron", "Hollis"), ("Ines", "Jarrow"), ("Kelda", "Lindqvist")]
 
 
-def test_personal_data_on_held_out_sentences():
-    detector = Detector(*train(PEOPLE, copies=12))
+def test_personal_data_on_held_out_lines():
+    """Half of the table's lines teach the model, the others are looked for; half of the names are put together anew."""
+    detector = Detector(*train(PEOPLE, lines=SENTENCES[::2]))
     filler = Filler(PEOPLE, seed=99)
-    made = [filler.sentence(line) for line in SENTENCES for _ in range(3)]
+    made = [filler.sentence(line) for line in SENTENCES[1::2] for _ in range(6)]
     want = {(k, kind, a) for k, (_, spans) in enumerate(made) for a, _, kind in spans}
     got = {(k, kind, a) for k, kind, a, _ in detector.batch([t for t, _ in made])}
-    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+    for kind in ("email", "phone", "id_number", "address", "name"):
+        w, g = {x for x in want if x[1] == kind}, {x for x in got if x[1] == kind}
+        print(kind, len(w), round(len(w & g) / len(w), 3), round(len(w & g) / len(g), 3))
+        assert len(w & g) >= 0.8 * len(w) and len(w & g) >= 0.8 * len(g)
 
 
 def test_personal_data_table(spark):
