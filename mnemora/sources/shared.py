@@ -55,6 +55,11 @@ def own_folder(spark: SparkSession) -> str:
     return folder
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of this application that nothing reads any more."""
+    _delete(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all that this application wrote for the moment; results that were not written yet can't be read any more."""
     _delete(spark, own_folder(spark))
