@@ -28,20 +28,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repeats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All memories in two batches, the earlier and the later half of the days that they cover."""
+    """All memories: those before the last day as one batch, and that day as the batch of a day."""
     from pyspark.sql import functions as F
 
     from mnemora.llm.history import NoteHistory
     from mnemora.sources.shared import new_path
 
     notes = read_table(spark, sf_dir, "memories").select("id", F.col("created_at").alias("at"), "content")
-    low, high = notes.agg(F.min("at"), F.max("at")).first()
+    last = notes.agg(F.max("at")).first()[0]
     history = NoteHistory(spark, new_path(spark, "history"))
-    if low is None:
+    if last is None:
         return notes, history.merge(notes)
-    middle = (low + high) // 2 // 86_400_000 * 86_400_000
-    found = history.merge(notes.filter(F.col("at") < middle))
-    return notes, found.union(history.merge(notes.filter(F.col("at") >= middle)))
+    day = last // 86_400_000 * 86_400_000
+    found = history.merge(notes.filter(F.col("at") < day))
+    return notes, found.union(history.merge(notes.filter(F.col("at") >= day)))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
