@@ -76,8 +76,10 @@ class Automaton:
             for at, word in enumerate(words):
                 last = self._extend(last, word)
                 own.append((last, number, at))
+        self._words = [(number, at, word) for number, words in enumerate(items) for at, word in enumerate(words)]
         for state, number, at in own:
             self.ends[state].append((number, at))
+        self._own = own
         self._all: dict[int, list[tuple[int, int]]] = {}
         self._children: list[list[int]] = [[] for _ in self.link]
         for state, link in enumerate(self.link):
@@ -124,6 +126,25 @@ class Automaton:
             self._all[state] = found
         return found
 
+    def overlaps(self) -> dict[int, list[tuple[int, int, int, int]]]:
+        """Of each item what it shares with items: (its last place, length, item, place there) of stretches that can't be made longer.
+
+        A text's maximal stretch belongs to the items that hold all of it; what others hold of it is among these.
+        """
+        words = {(number, at): word for number, at, word in self._words}
+        out: dict[int, list[tuple[int, int, int, int]]] = {}
+        for state, number, at in self._own:
+            seen, s = {(number, at)}, state
+            while s > 0 and self.length[s] >= STRETCH:
+                for other in self.occurrences(s):
+                    if other not in seen:
+                        seen.add(other)
+                        following = words.get((number, at + 1))
+                        if following is None or following != words.get((other[0], other[1] + 1)):
+                            out.setdefault(number, []).append((at, min(self.length[s], at + 1), *other))
+                s = self.link[s]
+        return out
+
     def stretches(self, words: list[int]) -> list[tuple[int, int, int]]:
         """Maximal stretches of ``words``: (place of the last word, length, state), of STRETCH words or more."""
         state, length, out = 0, 0, []
@@ -160,6 +181,7 @@ class Finder:
         numbered = [(np.searchsorted(self.vocabulary, c) + 1).tolist() for c in coded]
         self.sizes = [len(x) for x in numbered]
         self.automaton = Automaton(numbered)
+        self.overlaps = self.automaton.overlaps()
         self.base = len(self.vocabulary) + 1
         triples = [(a * self.base + b) * self.base + c for x in numbered for a, b, c in zip(x, x[1:], x[2:])]
         self.triples = np.unique(np.array(triples, np.int64))
@@ -205,10 +227,17 @@ class Finder:
         return found
 
     def _chains(self, words: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
-        by_item: dict[int, list[tuple[int, int, int]]] = {}
+        met: dict[int, set[tuple[int, int, int]]] = {}
         for at, length, state in self.automaton.stretches(words):
             for item, place in self.automaton.occurrences(state):
-                by_item.setdefault(item, []).append((at, place, length))
+                met.setdefault(item, set()).add((at, place, length))
+                for end, size, other, there in self.overlaps.get(item, ()):
+                    last = min(end, place)  # what of the shared stretch the text has
+                    size -= end - last
+                    size = min(size, last - (place - length))
+                    if size >= STRETCH:
+                        met.setdefault(other, set()).add((at - (place - last), there - (end - last), size))
+        by_item = {item: sorted(pieces) for item, pieces in met.items()}
         for item, pieces in by_item.items():
             if sum(p[2] for p in pieces) < self.exact * self.least:
                 continue

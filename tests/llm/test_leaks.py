@@ -50,6 +50,14 @@ def test_documents(spark):
     assert docs[6][1].encode()[seven.start_byte : seven.end_byte].decode() == ITEM[:-1]
 
 
+def test_items_that_overlap_or_lie_in_each_other(spark):
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(70)]
+    items = [(1, " ".join(words[:40])), (2, " ".join(words[9:35])), (3, " ".join(words[20:60])), (4, " ".join(words[30:52]))]
+    docs = [(1, "x " + " ".join(words[:40]) + " y"), (2, " ".join(words[:60])), (3, " ".join(words[12:33])), (4, " ".join(words[:15]))]
+    got = leaked_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 2)}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
