@@ -74,4 +74,6 @@ def shortest_path(edges: DataFrame, source: int, target: int, most: int = 6) ->
         frontier = onward.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti")
         frontier = materialize(frontier, "frontier")
         seen = seen.unionByName(frontier)
+        if not frontier.filter(F.col("id") == target).isEmpty():  # no later hop can give a shorter path
+            break
     return seen.filter(F.col("id") == target).select((F.size("path") - 1).alias("hops"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))

@@ -13,6 +13,8 @@ GAP_MS = 30 * 60 * 1000
 CELL_BITS = 27
 LEVEL_BITS = 36
 SLICE_BITS = 31
+#: Parts of a slice by key; a batch rewrites the parts that its keys and times touch.
+KEY_PARTS = 4
 
 _SPACE = r"[\s\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 _BLANK = f"^{_SPACE}|{_SPACE}$"
@@ -43,23 +45,27 @@ class SessionTable:
 
     A batch has columns ``key`` (string), ``at`` (bigint ms) and ``id`` (string).  A gap of ``gap_ms`` or more between
     two events of a key starts a new session.  :meth:`merge` folds the batch's events into local sessions, takes the
-    stored sessions of the time slices within a gap of the batch, merges what a batch's session bridges, and replaces
-    the affected slices in one atomic step; other slices aren't read.
+    stored sessions of the parts (a slice of time and a share of the keys) within a gap of the batch's events, merges
+    what a batch's session bridges, and replaces the affected parts in one atomic step; others aren't read.
 
-    Defined results: rows with a null in key, at or id are in no session; an id counts once, in whatever batch it
-    comes again; events at the same time are one place; an empty batch changes nothing; other columns are ignored.
+    Defined results: rows with a null in key, at or id are in no session; an id counts once, with its first (time,
+    key), in whatever batch and under whatever key it comes again within a slice of time; events at the same time are
+    one place; an empty batch changes nothing; other columns are ignored.
     """
 
-    def __init__(self, spark: SparkSession, path: str, gap_ms: int = GAP_MS):
-        self.spark, self.path, self.gap = spark, path.rstrip("/"), gap_ms
+    def __init__(self, spark: SparkSession, path: str, gap_ms: int = GAP_MS, key_parts: int = KEY_PARTS):
+        self.spark, self.path, self.gap, self.key_parts = spark, path.rstrip("/"), gap_ms, key_parts
         self.manifest = Manifest(spark, self.path)
 
-    def _read(self, kind: str, slices: dict, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/v{x['version']}/slice={k.split('/')[0]}" for k, x in slices.items()]
+    def _read(self, kind: str, parts: dict, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{kind}/v{x['version']}/{x['at']}" for x in parts.values()]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def _part(self):
+        return F.pmod(F.xxhash64("key"), F.lit(self.key_parts)).cast("int")
+
     def sessions(self) -> DataFrame:
         """key, started_at, ended_at, duration_ms, events."""
         _, content = self.manifest.read()
@@ -70,24 +76,23 @@ class SessionTable:
         version, content = self.manifest.read()
         stored, members = content.get("sessions", {}), content.get("ids", {})
         slice_ = F.shiftright("at", SLICE_BITS)
-        events = batch.select("key", "at", "id").filter("key is not null and at is not null and id is not null").distinct()
+        events = batch.select("key", "at", "id").filter("key is not null and at is not null and id is not null")
+        events = events.groupBy("id").agg(F.min(F.struct("at", "key")).alias("x")).select("x.key", "x.at", "id")
         version += 1
         # the batch's new members first: they are read again below, and kept for later batches
-        seen_schema = "key string, at bigint, id string"
         if members:
-            touched = {str(r[0]) for r in events.select(slice_).distinct().collect()}  # one row for each 25 days
-            seen = self._read("ids", {k: x for k, x in members.items() if k.split("/")[0] in touched}, seen_schema)
-            events = events.join(seen, ["key", "at", "id"], "left_anti")
+            touched = {r[0] for r in events.select(slice_).distinct().collect()}  # one row for each 25 days
+            seen = self._read("ids", {k: x for k, x in members.items() if x["slice"] in touched}, "id string")
+            events = events.join(seen, "id", "left_anti")
         ids_path = f"{self.path}/ids/v{version}"
         events.withColumn("slice", slice_).write.mode("overwrite").partitionBy("slice").parquet(ids_path)
-        fresh = self.spark.read.schema(seen_schema + ", slice bigint").parquet(ids_path)
-        parts = fresh.groupBy("slice").agg(F.min("at"), F.max("at")).collect()  # one row for each 25 days
-        if not parts:
+        fresh = self.spark.read.schema("key string, at bigint, id string, slice bigint").parquet(ids_path)
+        bounds = fresh.groupBy("slice", self._part().alias("part")).agg(F.min("at").alias("low"), F.max("at").alias("high")).collect()  # one row for each part
+        if not bounds:
             return
-        low, high = min(r[1] for r in parts) - self.gap, max(r[2] for r in parts) + self.gap
-        # affected: what a session of the batch may touch, and what shares a slice with one
-        own = {str(r[0]) for r in parts}
-        near = {k: x for k, x in stored.items() if k in own or x["ended"] >= low and x["started"] <= high}
+        # affected: what a session of the batch may touch, and what shares a part with one
+        own = {f"{r['slice']}/{r['part']}" for r in bounds}
+        near = {k: x for k, x in stored.items() if k in own or any(x["part"] == r["part"] and x["ended"] >= r["low"] - self.gap and x["started"] <= r["high"] + self.gap for r in bounds)}
         old = self._read("sessions", near, "key string, started_at bigint, ended_at bigint, events bigint")
         # a stored session is cut at the edges of the cells, so that what it covers meets it in its own cell
         cells = F.explode(F.sequence(F.shiftright("started_at", CELL_BITS), F.shiftright("ended_at", CELL_BITS)))
@@ -101,12 +106,12 @@ class SessionTable:
         cell = F.shiftright("from", CELL_BITS).alias("cell")
         pieces = new.unionByName(old).select("*", cell).repartition("key", "cell")
         pieces = pieces.groupBy("key", "cell", F.col("from").alias("started_at")).agg(F.max("ended_at").alias("ended_at"), F.sum("events").alias("events"))
-        result = _fold(pieces, self.gap).withColumn("slice", F.shiftright("started_at", SLICE_BITS))
+        result = _fold(pieces, self.gap).withColumn("slice", F.shiftright("started_at", SLICE_BITS)).withColumn("part", self._part())
         path = f"{self.path}/sessions/v{version}"
-        result.write.mode("overwrite").partitionBy("slice").parquet(path)
-        made = self.spark.read.schema("key string, started_at bigint, ended_at bigint, events bigint, slice bigint").parquet(path)
-        bounds = made.groupBy("slice").agg(F.min("started_at"), F.max("ended_at")).collect()  # one row for each 25 days
+        result.write.mode("overwrite").partitionBy("slice", "part").parquet(path)
+        made = self.spark.read.schema("key string, started_at bigint, ended_at bigint, events bigint, slice bigint, part int").parquet(path)
+        spans = made.groupBy("slice", "part").agg(F.min("started_at").alias("started"), F.max("ended_at").alias("ended")).collect()  # one row for each part
         sessions = {k: x for k, x in stored.items() if k not in near}
-        sessions |= {str(r[0]): {"version": version, "started": r[1], "ended": r[2]} for r in bounds}
-        ids = members | {f"{r[0]}/{version}": {"version": version} for r in parts}
+        sessions |= {f"{r['slice']}/{r['part']}": {"version": version, "at": f"slice={r['slice']}/part={r['part']}", "part": r["part"], "started": r["started"], "ended": r["ended"]} for r in spans}
+        ids = members | {f"{k}/{version}": {"version": version, "at": f"slice={k}", "slice": k} for k in sorted({r["slice"] for r in bounds})}
         self.manifest.commit(version, {"sessions": sessions, "ids": ids})

@@ -68,6 +68,20 @@ def server_many(spark, d):
     return out.select("probe", "id", r6(c("score")).alias("score"), r6(c("probability")).alias("probability"), "rank")
 
 
+def m_vectors(spark, d):
+    """The project's memories with an undamaged vector of 64 numbers: id, v, b of their accesses up to now, emotion."""
+    v = read_table(spark, d, "memory_embeddings").filter("dimensions = 64").filter(usable(c("vector"), 64)).groupBy("memory_id").agg(F.max("vector").alias("v"))
+    h = own(spark, d, "access_history").filter(f"accessed_at <= {NOW}").groupBy("memory_id").agg(act.base_level(NOW - c("accessed_at")).alias("b"))
+    m = own(spark, d, "memories").select("id", c("emotional_weight").alias("emotion"))
+    return v.join(h, "memory_id", "left").withColumnRenamed("memory_id", "id").join(m, "id")
+
+
+def retrieve_all(spark, d):
+    """Every memory as a probe for all of them: the ten best of each."""
+    m = m_vectors(spark, d)
+    return _shape(retrieve_batch(m.select("id", "v"), m))
+
+
 def naive_topk(spark, d):
     """The ten most similar memories of each probe by cosine alone."""
     return top_matches(f_probes(spark, d), f_embeddings(spark, d), 10).select(c("query").alias("probe"), "id", r6(c("s")).alias("s"), "rank")
@@ -146,7 +160,7 @@ def visual_context(spark, d):
     return context_with_visuals(texts, pictures)
 
 
-for _f in (retrieve_many, retrieve_many_spreading, retrieve_typed, naive_topk, rag_budget, disclosure_layers, visual_retrieve, visual_retrieve_spreading, visual_recency):
+for _f in (retrieve_all, retrieve_many, retrieve_many_spreading, retrieve_typed, naive_topk, rag_budget, disclosure_layers, visual_retrieve, visual_retrieve_spreading, visual_recency):
     QUERIES[_f.__name__] = _f
 QUERIES |= {"retrieve_server": server_many, "context_with_visuals": visual_context}
 

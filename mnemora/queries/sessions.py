@@ -10,14 +10,16 @@ from mnemora.sources.shared import new_path, read_table
 
 
 def project_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All memories in two batches, the earlier and the later half of the time that they cover."""
+    """All memories: those before the last three days as one batch, and each of these days as a batch of its own."""
     events = read_table(spark, sf_dir, "memories").select(clean_key(F.col("project_id")).alias("key"), F.col("created_at").alias("at"), "id")
-    low, high = events.agg(F.min("at"), F.max("at")).first()
     table = SessionTable(spark, new_path(spark, "sessions"))
-    if low is not None:
-        middle = (low + high) // 2
-        table.merge(events.filter(F.col("at") <= middle))
-        table.merge(events.filter(F.col("at") > middle))
+    last = events.agg(F.max("at")).first()[0]
+    if last is not None:
+        day = 86_400_000
+        ends = [(last // day - k) * day for k in (2, 1, 0)]
+        table.merge(events.filter(F.col("at") < ends[0]))
+        for low in ends:
+            table.merge(events.filter((F.col("at") >= low) & (F.col("at") < low + day)))
     return table.sessions()
 
 

@@ -19,20 +19,21 @@ def hashed_embedder(dims: int = 256):
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seen: dict[str, tuple[int, float]] = {}
         for texts in batches:
-            out = []
-            for text in texts:
-                v = np.zeros(dims, np.float32)
-                for word in (text or "").lower().split():
-                    at = seen.get(word)
-                    if at is None:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        h = xxhash.xxh3_64_intdigest(word)
-                        at = seen[word] = (h % dims, 1.0 if h >> 63 else -1.0)
-                    v[at[0]] += at[1]
-                norm = float(np.linalg.norm(v))
-                out.append((v / norm).tolist() if norm else None)
-            yield pd.Series(out)
+            words = [(text or "").lower().split() for text in texts]
+            places = []
+            for word in (w for own in words for w in own):
+                at = seen.get(word)
+                if at is None:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    h = xxhash.xxh3_64_intdigest(word)
+                    at = seen[word] = (h % dims, 1.0 if h >> 63 else -1.0)
+                places.append(at)
+            row = np.repeat(np.arange(len(words)), [len(own) for own in words])
+            slot = np.array([p[0] for p in places], np.int64)
+            v = np.bincount(row * dims + slot, [p[1] for p in places], minlength=len(words) * dims).reshape(len(words), dims).astype(np.float32)
+            norm = np.linalg.norm(v, axis=1)
+            yield pd.Series([x / n if n else None for x, n in zip(v, norm)], dtype=object)
 
     return embed
 

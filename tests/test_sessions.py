@@ -48,6 +48,24 @@ def test_batches_far_apart_in_one_slice(spark):
     assert {(x.key, x.started_at, x.ended_at, x.events) for x in table.sessions().collect()} == brute(rows)
 
 
+def test_an_id_counts_once(spark):
+    table = SessionTable(spark, new_path(spark, "test"))
+    table.merge(spark.createDataFrame([("k", 5, "x", "c", 1), ("b", 5, "x", "c", 1)], SCHEMA))
+    table.merge(spark.createDataFrame([("k2", 5, "x", "c", 1), ("k2", 9, "x", "c", 1)], SCHEMA))
+    assert {(x.key, x.started_at, x.events) for x in table.sessions().collect()} == {("b", 5, 1)}
+
+
+def test_only_touched_parts_are_rewritten(spark):
+    table = SessionTable(spark, new_path(spark, "test"), key_parts=8)
+    day = 86_400_000
+    table.merge(spark.createDataFrame([(f"k{k}", (800 << 31) + d * day, f"{k}/{d}", "c", 1) for k in range(20) for d in range(0, 200, 20)], SCHEMA))
+    before = table.manifest.read()[1]["sessions"]
+    table.merge(spark.createDataFrame([("k3", (800 << 31) + 1, "late", "c", 1), ("k3", (800 << 31) + 190 * day, "new", "c", 1)], SCHEMA))
+    after = table.manifest.read()[1]["sessions"]
+    assert {k for k in after if after[k] != before[k]} and sum(after[k] != before[k] for k in after) <= 3 and len(after) > 40
+    assert table.sessions().count() == 201
+
+
 def test_empty(spark):
     table = SessionTable(spark, new_path(spark, "test"))
     assert table.sessions().count() == 0
