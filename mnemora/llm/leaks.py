@@ -126,16 +126,16 @@ class Automaton:
             self._all[state] = found
         return found
 
-    def overlaps(self) -> dict[int, list[tuple[int, int, int, int]]]:
-        """Of each item what it shares with items: (its last place, length, item, place there) of stretches that can't be made longer.
+    def overlaps(self, least: int) -> dict[int, list[tuple[int, int, int, int]]]:
+        """Of each item what it shares with items: (its last place, length, item, place there) of stretches of ``least`` words or more that can't be made longer.
 
-        A text's maximal stretch belongs to the items that hold all of it; what others hold of it is among these.
+        A text's maximal stretch belongs to the items that hold all of it; those that share a passage of it are among these.
         """
         words = {(number, at): word for number, at, word in self._words}
         out: dict[int, list[tuple[int, int, int, int]]] = {}
         for state, number, at in self._own:
             seen, s = {(number, at)}, state
-            while s > 0 and self.length[s] >= STRETCH:
+            while s > 0 and self.length[s] >= least:
                 for other in self.occurrences(s):
                     if other not in seen:
                         seen.add(other)
@@ -181,7 +181,7 @@ class Finder:
         numbered = [(np.searchsorted(self.vocabulary, c) + 1).tolist() for c in coded]
         self.sizes = [len(x) for x in numbered]
         self.automaton = Automaton(numbered)
-        self.overlaps = self.automaton.overlaps()
+        self.overlaps = self.automaton.overlaps(least)
         self.base = len(self.vocabulary) + 1
         triples = [(a * self.base + b) * self.base + c for x in numbered for a, b, c in zip(x, x[1:], x[2:])]
         self.triples = np.unique(np.array(triples, np.int64))
@@ -235,7 +235,7 @@ class Finder:
                     last = min(end, place)  # what of the shared stretch the text has
                     size -= end - last
                     size = min(size, last - (place - length))
-                    if size >= STRETCH:
+                    if size >= self.least:
                         met.setdefault(other, set()).add((at - (place - last), there - (end - last), size))
         by_item = {item: sorted(pieces) for item, pieces in met.items()}
         for item, pieces in by_item.items():

@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -129,6 +130,12 @@ class BoundaryEncoder:
         return np.diff(np.concatenate([[0], after])[at]), flat
 
 
+@lru_cache(maxsize=2)
+def encoder_of(name: str, folder: str) -> BoundaryEncoder:
+    """The encoder of a Python worker, which its tasks share with all fragments that it knows."""
+    return BoundaryEncoder(name, folder)
+
+
 def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """``key`` and ``ids``, the token ids (array of integers) of ``text`` without special tokens.
 
@@ -139,7 +146,7 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", nam
     kind = documents.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BoundaryEncoder(name, folder)
+        encoder = encoder_of(name, folder)
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
             step = 256
