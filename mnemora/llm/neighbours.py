@@ -3,14 +3,17 @@
 Vectors are scaled to length one and projected onto a few directions drawn from the normal distribution, which is
 stable: a projected difference is normal with the distance as its deviation.  A kd-tree over the projections, one
 direction a level and medians of a bounded sample as cuts, groups the rows into leaves, and neighbouring leaves into
-blocks, which are written to the shared folder.  Each block's rows then search: their own block first, then leaf after
-leaf in the other blocks, with exact cosines.  A leaf is left out for a query when a chi-square test holds that none of
-the sought neighbours can lie in it: the squared projected distance to the leaf's cell, over the squared distance of
-the query's k-th best so far, exceeds the quantile for as many directions as separate the two.
+blocks, which are written to the shared folder.  Each block's rows then search, with exact cosines: their own leaf
+first, then the other leaves in steps, in the order of their projected distance.  A leaf is left out for a query when a
+chi-square test holds that none of the sought neighbours can lie in it: the squared projected distance to the leaf's
+cell, over the squared distance of the query's k-th best so far, exceeds the quantile for as many directions as separate
+the two.  The test is made again before each step, with what was found; more steps would spare comparisons, but break the
+matrix products into small ones, which costs more.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,11 +27,13 @@ from mnemora.sources.shared import materialize, new_path
 #: Neighbours of a vector and the least cosine that counts.
 K, LEAST = 5, 0.85
 #: Error of the stopping test; rows of a leaf and of a block; rows in the sample that the cuts are fitted on.
-ERROR, LEAF_ROWS, BLOCK_ROWS, SAMPLE = 0.3, 64, 16_384, 16_384
+ERROR, LEAF_ROWS, BLOCK_ROWS, SAMPLE = 0.3, 64, 16_384, 65_536
 #: Copies of one vector that are indexed; by the tie rule the others' neighbours are the first of these.
 COPIES = K + 1
-#: Levels of the largest tree: 2**20 leaves.
-MOST_LEVELS = 20
+#: Directions that are there for levels of a tree (2**32 leaves); blocks that a search keeps at hand.
+MOST_LEVELS, AT_HAND = 32, 24
+#: Parts of a statistic's limit at which the test is made again.
+STEPS = np.array([0.3], np.float32)
 _SEED = 20_240_229
 
 
@@ -68,13 +73,14 @@ class ProjectionTree:
         at = np.zeros(len(sample), np.int64)
         for level in range(levels):
             p = sample @ directions[level]
-            cuts = np.zeros(1 << level, np.float32)
             order = np.lexsort((p, at))
             bounds = np.searchsorted(at[order], np.arange((1 << level) + 1))
-            overall = float(np.median(p)) if len(p) else 0.0
-            for node in range(1 << level):
-                own = p[order[bounds[node] : bounds[node + 1]]]
-                cuts[node] = np.median(own) if len(own) >= 8 else overall
+            n = np.diff(bounds)
+            # the median of the node's rows; a node without any takes that of all
+            cuts = np.full(1 << level, float(np.median(p)) if len(p) else 0.0, np.float32)
+            low, high = np.minimum(bounds[:-1] + (n - 1) // 2, max(0, len(p) - 1)), np.minimum(bounds[:-1] + n // 2, max(0, len(p) - 1))
+            if len(p):
+                cuts[n > 0] = ((p[order[low]] + p[order[high]]) / 2)[n > 0]
             self.cuts.append(cuts)
             at = 2 * at + (p > cuts[at])
 
@@ -89,13 +95,17 @@ class ProjectionTree:
             at = 2 * at + (p[:, level] > cuts[at])
         return at
 
-    def reach(self, projected: np.ndarray, squared: np.ndarray, error: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a leaf and a query for which the test can't leave the leaf out.
+    def limits(self, error: float) -> np.ndarray:
+        """What the statistic of a leaf may be, by the number of crossed cuts."""
+        return np.array([0.0, *(quantile(d, error) for d in range(1, self.levels + 1))], np.float32)
+
+    def reach(self, projected: np.ndarray, squared: np.ndarray, error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a leaf and a query for which the test can't leave the leaf out, its statistic and its crossed cuts.
 
         ``squared`` is the squared distance within which a query's neighbours are sought.  The test is made at each
         crossed cut on the way down, so that what is left out takes no more work.
         """
-        limits = np.array([0.0, *(quantile(d, error) for d in range(1, self.levels + 1))], np.float32)
+        limits = self.limits(error)
         scaled = 1 / squared
         query = np.arange(len(projected), dtype=np.int32)
         node = np.zeros(len(projected), np.int32)
@@ -114,7 +124,7 @@ class ProjectionTree:
             query = np.concatenate([query, query[goes]])
             far = np.concatenate([far, crossed[goes]])
             apart = np.concatenate([apart, apart[goes] + np.int8(1)])
-        return node, query
+        return node, query, far, apart
 
 
 class _Blocks:
@@ -183,6 +193,15 @@ class _Best:
         self.q, self.cos, self.ids = q[keep], cos[keep], ids[keep]
 
 
+def within(best: _Best, n: int, k: int, least: float) -> np.ndarray:
+    """Of each query the squared distance of its k-th best so far, or of the least cosine that counts."""
+    squared = np.full(n, 2 - 2 * least, np.float32)
+    rank = np.arange(len(best.q)) - np.searchsorted(best.q, np.arange(n))[best.q]
+    last = rank == k - 1
+    squared[best.q[last]] = np.minimum(squared[best.q[last]], (2 - 2 * best.cos[last]).astype(np.float32))
+    return np.maximum(squared, 1e-6, out=squared)
+
+
 def search_block(tree: ProjectionTree, blocks: _Blocks, block: int, block_bits: int, k: int, least: float, error: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Up to 2 k neighbours of all rows of a block: ids, neighbours' ids, cosines rounded to 6 places."""
     ids, leaf, vectors = blocks.read(block)
@@ -208,37 +227,37 @@ def search_block(tree: ProjectionTree, blocks: _Blocks, block: int, block_bits:
     for a, b in zip(bounds[:-1], bounds[1:]):  # each query's own leaf first: it may narrow the search
         hold(np.arange(a, b), vectors[a:b], ids[a:b])
     best.settle()
-    squared = np.full(n, 2 - 2 * least, np.float32)
-    rank = np.arange(len(best.q)) - np.searchsorted(best.q, np.arange(n))[best.q]
-    last = rank == k - 1
-    squared[best.q[last]] = np.minimum(squared[best.q[last]], (2 - 2 * best.cos[last]).astype(np.float32))
-    np.maximum(squared, 1e-6, out=squared)
+    squared = within(best, n, k, least)
     projected = vectors @ tree.directions[: tree.levels].T
-    leaves, queries = [], []
-    for at in range(0, n, 2048):
-        nodes, q = tree.reach(projected[at : at + 2048], squared[at : at + 2048], error)
-        leaves.append(nodes)
-        queries.append(q + np.int32(at))
-    leaves, queries = np.concatenate(leaves), np.concatenate(queries)
-    order = np.argsort(leaves, kind="stable")
-    leaves, queries = leaves[order], queries[order]
-    starts = np.flatnonzero(np.concatenate([[True], leaves[1:] != leaves[:-1]])) if len(leaves) else np.empty(0, int)
-    ends = np.append(starts[1:], len(leaves))
-    wanted: dict[int, list[tuple[int, int, int]]] = {}
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        wanted.setdefault(int(leaves[a]) >> shift, []).append((int(leaves[a]), a, b))
-    for other in sorted(wanted, key=lambda x: x != block):
-        other_ids, other_leaf, other_vectors = (ids, leaf, vectors) if other == block else blocks.read(other)
-        for at, a, b in wanted[other]:
-            lo, hi = np.searchsorted(other_leaf, [at, at + 1])
-            if lo == hi:
-                continue
-            asked = queries[a:b]
-            if other == block:  # the own leaf was first
-                asked = asked[leaf[asked] != at]
-            for c in range(0, len(asked), 8192):
+    found = [tree.reach(projected[at : at + 2048], squared[at : at + 2048], error) for at in range(0, n, 2048)]
+    queries = np.concatenate([q + np.int32(2048 * i) for i, (_, q, _, _) in enumerate(found)])
+    leaves, far, apart = (np.concatenate([x[j] for x in found]) for j in (0, 2, 3))
+    others = leaves != leaf[queries]
+    leaves, queries, far, apart = leaves[others], queries[others], far[others], apart[others]
+    # by projected distance: leaves whose statistic is a small part of its limit first, the others in further steps
+    limits = tree.limits(error)
+    rounds = np.searchsorted(STEPS, far / limits[apart], side="right")
+    at_hand: OrderedDict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = OrderedDict({block: (ids, leaf, vectors)})
+    for turn in range(int(rounds.max()) + 1 if len(rounds) else 0):
+        now = within(best, n, k, least)
+        # the test again: what was found since may rule a leaf out
+        chosen = np.flatnonzero((rounds == turn) & (far * (squared / now)[queries] <= limits[apart]))
+        order = chosen[np.argsort(leaves[chosen], kind="stable")]
+        l, q = leaves[order], queries[order]
+        starts = np.flatnonzero(np.concatenate([[True], l[1:] != l[:-1]])) if len(l) else np.empty(0, int)
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(l)).tolist()):
+            other = int(l[a]) >> shift
+            if other not in at_hand:
+                best.settle()
+                at_hand[other] = blocks.read(other)
+                while len(at_hand) > AT_HAND:
+                    at_hand.popitem(last=False)
+            at_hand.move_to_end(other)
+            other_ids, other_leaf, other_vectors = at_hand[other]
+            lo, hi = np.searchsorted(other_leaf, [l[a], l[a] + 1])
+            for c in range(a, b, 8192):
                 for r in range(lo, hi, 1024):
-                    hold(asked[c : c + 8192], other_vectors[r : min(hi, r + 1024)], other_ids[r : min(hi, r + 1024)])
+                    hold(q[c : min(b, c + 8192)], other_vectors[r : min(hi, r + 1024)], other_ids[r : min(hi, r + 1024)])
         best.settle()
     best.settle()
     return ids[best.q], best.ids, best.cos
@@ -337,7 +356,7 @@ def nearest(vectors: DataFrame, k: int = K, least: float = LEAST, error: float =
     path = new_path(spark, "blocks")
     kept.select("number", "block", "id", "leaf", "vector").repartition("number", "block").write.partitionBy("number", "block").parquet(path)
     tasks = [(number, b) for number in bits for b in range(1 << bits[number])]
-    plan = spark.createDataFrame(tasks, "number int, block int").repartition(len(tasks), "number", "block")
+    plan = spark.createDataFrame(tasks, "number int, block int").repartitionByRange(len(tasks), "number", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, trees = sent.value
