@@ -212,6 +212,6 @@ ORACLES |= {
     "sessions_users": f"with {_SS} select * from ss",
     "session_memories": f"with {_SS} select distinct user_id, session, event_id % (select count(*) from embeddings) id from events join ss using (user_id) where epoch_us(ts) // 1000 between started and last_active",
     "expired_sessions": f"with {_SS} select user_id, count(*) n from ss where ended < {NOW_F - 7 * 86_400_000} group by 1",
-    "auto_associations": f"with v as (select memory_id id, max(vector) v from memory_embeddings where dimensions = 64 and len(vector) = 64 group by 1), g as (select * from v where isfinite({sql_dot('v', 'v')}) and {sql_dot('v', 'v')} > 0), m as (select id, v, lower(trim(project_id)) p, created_at t from {own_sql('memories', 'project_id, created_at')} join g using (id) where trim(project_id) <> ''), s as (select a.id src, b.id dst, round({sql_cosine('a.v', 'b.v')}, 12) s from m a join m b on a.p = b.p and b.t < a.t and a.t - b.t < 1800000), k as (select *, row_number() over (partition by src order by s desc, dst) k from s where s >= 0.4) select src, dst, round(s, 6) s from k where k <= 5",
+    "auto_associations": f"with v as (select memory_id id, max(vector) v from memory_embeddings where dimensions = 64 and len(vector) = 64 group by 1), g as (select * from v where isfinite({sql_dot('v', 'v')}) and {sql_dot('v', 'v')} > 0), m as (select id, v, nullif(lower(regexp_replace(project_id, '^[\\s\\x{{a0}}\\x{{3000}}]+|[\\s\\x{{a0}}\\x{{3000}}]+$', '', 'g')), '') p, created_at t from {own_sql('memories', 'project_id, created_at')} join g using (id)), s as (select a.id src, b.id dst, round({sql_cosine('a.v', 'b.v')}, 12) s from m a join m b on a.p = b.p and b.t < a.t and a.t - b.t < 1800000), k as (select *, row_number() over (partition by src order by s desc, dst) k from s where s >= 0.4) select src, dst, round(s, 6) s from k where k <= 5",
     "pe_routing": f"with s as (select a.vec_id id, b.vec_id o, {sql_cosine('a.embedding', 'b.embedding')} s from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.vec_id <> a.vec_id), k as (select *, row_number() over (partition by id order by round(s, 12) desc, o) k from s) select id, case when s >= 0.4 then o end \"match\", case when s < 0.4 or 1 - s >= 0.55 then 'new_trace' when 1 - s < 0.1 then 'reinforce' else 'reconsolidate' end zone from k where k = 1",
 }

@@ -81,7 +81,7 @@ def _videos(spark, d):
 
 
 def planned_frames(spark, d):
-    return frame_plan(_videos(spark, d)).select("video_id", "i", r6(c("timestamp_seconds")).alias("timestamp_seconds"))
+    return frame_plan(_videos(spark, d)).select("video_id", "i", F.round("timestamp_seconds", 8).alias("timestamp_seconds"))
 
 
 def _probe_json():
@@ -159,7 +159,7 @@ ORACLES = {
     "scene_representatives": f"with {_SC}, b as (select x.video_id, x.k, x.frame_number, sum(bit_count(xor(x.h, y.h))) bits from sk x join sk y on x.video_id = y.video_id and x.k = y.k and x.h is not null and y.h is not null group by 1, 2, 3) select video_id, k::bigint k, frame_number from b qualify row_number() over (partition by video_id, k order by bits, frame_number) = 1",
     "frame_transcript": f"with {_FR}, {_SEG}, {_SAID} select * from said",
     "transcript_in_range": f"with {_FR}, {_SEG} select video_id, string_agg(text, ' ' order by a, b, text) text from seg where a >= 10 and b <= 60 group by 1",
-    "frame_plan": f"with {_FR}, {_VID}, n as (select *, least(ceil(duration), 100)::int n from vid where duration > 0) select video_id, i::int i, round(i * duration / n, 6) timestamp_seconds from n, lateral (select unnest(range(0, n)) i)",
+    "frame_plan": f"with {_FR}, {_VID}, n as (select *, least(ceil(duration), 100)::int n from vid where duration > 0) select video_id, i::int i, round(i * duration / n, 8) timestamp_seconds from n, lateral (select unnest(range(0, n)) i)",
     "video_metadata": f"with {_FR}, {_VID} select video_id, case when frames % 7 <> 0 then round(duration, 6) end duration, case when frames % 7 <> 0 then 1280 end width, case when frames % 7 <> 0 then 720 end height, case when frames % 7 <> 0 then round(frames / 8.0::double, 6) end fps, case when frames % 7 <> 0 then 'h264' end codec, case when frames % 7 <> 0 then false end audio from vid",
     "process_video": f"with {_SC}, {_SEG}, {_VID}, st as (select video_id, count(*) frames, count(*) filter (where scene) scenes, count(*) filter (where duplicate) duplicates from sc group by 1), sg as (select video_id, count(*) n from seg group by 1) select st.*, st.frames - duplicates \"unique\", round(duration, 6) duration, coalesce(n, 0) segments, case when n is null then 'no_audio' else 'ok' end audio from st join vid using (video_id) left join sg using (video_id)".replace("select st.*, st.frames", "select st.video_id, st.frames, scenes, duplicates, st.frames"),
     "frame_scores": f"with {_FR}, {_SEG}, {_SAID} select f.video_id, f.frame_number, round((0.5 + case when k0 then 0.3 else 0 end + case when sc then 0.5 else 0 end + case when text is not null then 0.2 else 0 end)::double, 6) score from f left join said using (video_id, frame_number)",
