@@ -81,6 +81,25 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Parts:
+    """The files of a table in the shared folder, in the order of their names, for tasks that read it themselves."""
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        self._fs, root = fs.FileSystem.from_uri(path)
+        found = self._fs.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        self._files = sorted(i.path for i in found if i.type == fs.FileType.File and i.path.endswith(".parquet"))
+
+    def tables(self, columns: list[str], first: int = 0, end: int | None = None):
+        """One Arrow table for each of the files from ``first`` on, before ``end``."""
+        import pyarrow.parquet as pq
+
+        for path in self._files[first:end]:
+            with self._fs.open_input_file(path) as file:
+                yield pq.ParquetFile(file).read(columns=columns)
+
+
 _SHIPPED: set[str] = set()
 
 

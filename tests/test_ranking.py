@@ -107,3 +107,17 @@ def test_context_budget_is_split(spark):
 
 def test_presets():
     assert (CORE.threshold, CORE.noise, SERVER.threshold, SERVER.noise) == (0.3, 0.1, 0.0, 0.25)
+
+
+def test_blocks_of_queries_find_what_blocks_of_rows_find(spark, monkeypatch):
+    from mnemora.operators import similarity
+
+    monkeypatch.setattr(similarity, "_FILE_ROWS", 16)
+    monkeypatch.setattr(similarity, "_FILES", 3)
+    monkeypatch.setattr(similarity, "_BLOCK", 40)
+    rows, m = _table(spark)
+    own = m.filter("id is not null")
+    for k, others, score, extra in ((5, False, similarity.activation_score, ("b", "emotion")), (3, True, None, ()), (500, False, None, ())):
+        few = {(r.query, r.rank): (r.id, r.s) for r in top_matches(own.select("id", "v"), m, k, others, score, extra).collect()}
+        many = {(r.query, r.rank): (r.id, r.s) for r in top_matches(own.select("id", "v"), m, k, others, score, extra, many=1).collect()}
+        assert few.keys() == many.keys() and all(few[x][0] == many[x][0] and few[x][1] == pytest.approx(many[x][1], abs=2e-12) for x in few)
