@@ -59,6 +59,40 @@ def test_cut_texts(spark):
     assert cut_texts(df.filter("false")).count() == 0
 
 
+def test_every_value_takes_part_in_the_cut_model(spark):
+    """No sample: each distinct value is a row of its half's fit, and shards of a half are one model."""
+    import numpy as np
+    import pyarrow as pa
+
+    from mnemora.llm.truncation import CUT, FEATURE_BITS, STORED, _distinct, _slot, fit_shard
+
+    n = 13_000  # more than were drawn of a table once
+    x = np.arange(2 * n, dtype=np.int32).reshape(-1, 1) % 5
+    bias = np.full((2 * n, 1), _slot("bias", FEATURE_BITS), np.int32)
+    feats = np.hstack([x, bias])
+    kind = np.tile(np.array([STORED, CUT], np.int32), n)
+    place, nth = np.repeat(np.arange(n), 2), np.tile(np.array([0, 1], np.int32), n)
+    rows = np.repeat(np.arange(2 * n), 2)  # every value delivered twice
+    table = pa.table({"place": place[rows], "nth": nth[rows], "kind": kind[rows], "x": [feats[r].tobytes() for r in rows]})
+    got, kinds = _distinct(table)
+    assert len(got) == 2 * n and (kinds == CUT).sum() == n
+    w, count = fit_shard(got, kinds, None, 0.0)
+    assert count[_slot("bias", FEATURE_BITS)] == 2 * n
+    judge = np.zeros(1 << FEATURE_BITS, np.float32)
+    judge[0] = 3.0  # the other half holds what has feature 0 to be cut
+    _, count = fit_shard(got, kinds, judge, 1.0)
+    assert count[_slot("bias", FEATURE_BITS)] == 2 * n - ((kinds == STORED) & (got[:, 0] == 0)).sum()
+
+    whole = _notes(900, 5)
+    cut = [t[:120] for t in _notes(400, 6) if len(t) > 150 and t[118:122].isalpha()]
+    df = spark.createDataFrame([(f"w{k}", t, "rpc") for k, t in enumerate(whole)] + [(f"c{k}", t, "rpc") for k, t in enumerate(cut)], "id string, text string, source string")
+    one = {r.id: r for r in cut_texts(df, shard=250).collect()}
+    other = {r.id: r for r in cut_texts(df.repartition(5), shard=250).collect()}
+    assert len(one) == len(whole) + len(cut) and {k: r.odds for k, r in one.items()} == {k: r.odds for k, r in other.items()}
+    assert sum(one[f"c{k}"].cut for k in range(len(cut))) >= 0.9 * len(cut)
+    assert sum(r.cut for k, r in one.items() if k[0] == "w") <= 0.02 * len(whole)
+
+
 def test_subjects(spark):
     r = random.Random(5)
     terms = {s: [f"{s}{chr(97 + k)}term" for k in range(12)] for s in ("food", *(f"area{chr(97 + k)}" for k in range(19)))}
