@@ -153,13 +153,27 @@ class _Blocks:
         raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
         first = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset]
         vectors = np.frombuffer(raw.buffers()[2], np.float32, offset=int(first)).reshape(-1)[: table.num_rows * (len(raw[0].as_py()) // 4)].reshape(table.num_rows, -1)
-        order = np.lexsort((ids.astype(str), leaf))
-        ids, leaf, vectors = ids[order], leaf[order], vectors[order]
+        same = leaf[1:] == leaf[:-1]
+        if (leaf[1:] < leaf[:-1]).any() or (same & (ids[1:] < ids[:-1])).any():  # they are written in this order
+            order = np.lexsort((ids.astype(str), leaf))
+            ids, leaf, vectors = ids[order], leaf[order], vectors[order]
         keep = np.ones(len(ids), bool)
         keep[1:] = ids[1:] != ids[:-1]
         return ids[keep], leaf[keep], vectors[keep]
 
 
+def _best_first(q: np.ndarray, cos: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order by query, falling cosine and id; ids are compared in ties only, which are few."""
+    order = np.lexsort((-cos, q))
+    tied = np.zeros(len(q) + 1, bool)
+    tied[1:-1] = (q[order][1:] == q[order][:-1]) & (cos[order][1:] == cos[order][:-1])
+    places = np.flatnonzero(tied[1:] | tied[:-1])
+    if len(places):
+        among = order[places]
+        order[places] = among[np.lexsort((ids[among].astype(str), -cos[among], q[among]))]
+    return order
+
+
 class _Best:
     """The k best of every query so far, ties to the smaller id."""
 
@@ -175,7 +189,7 @@ class _Best:
     def add(self, q: np.ndarray, cos: np.ndarray, ids: np.ndarray) -> None:
         self._more.append((q, cos, ids))
         self._waiting += len(q)
-        if self._waiting > 4 * self.k * self.n:
+        if self._waiting > max(self.n, len(self.q) // 2):  # a share of what is sorted, so that sorting stays in proportion to what is found
             self.settle()
 
     def settle(self) -> None:
@@ -183,7 +197,7 @@ class _Best:
             return
         q, cos, ids = (np.concatenate(x) for x in zip((self.q, self.cos, self.ids), *self._more))
         self._more, self._waiting = [], 0
-        order = np.lexsort((ids.astype(str), -cos, q))
+        order = _best_first(q, cos, ids)
         q, cos, ids = q[order], cos[order], ids[order]
         start = np.searchsorted(q, np.arange(self.n))
         rank = np.arange(len(q)) - start[q]
@@ -248,7 +262,6 @@ def search_block(tree: ProjectionTree, blocks: _Blocks, block: int, block_bits:
         for a, b in zip(starts.tolist(), np.append(starts[1:], len(l)).tolist()):
             other = int(l[a]) >> shift
             if other not in at_hand:
-                best.settle()
                 at_hand[other] = blocks.read(other)
                 while len(at_hand) > AT_HAND:
                     at_hand.popitem(last=False)
@@ -354,7 +367,7 @@ def nearest(vectors: DataFrame, k: int = K, least: float = LEAST, error: float =
     else:
         kept = rows
     path = new_path(spark, "blocks")
-    kept.select("number", "block", "id", "leaf", "vector").repartition("number", "block").write.partitionBy("number", "block").parquet(path)
+    kept.select("number", "block", "id", "leaf", "vector").repartition("number", "block").sortWithinPartitions("number", "block", "leaf", "id").write.partitionBy("number", "block").parquet(path)
     tasks = [(number, b) for number in bits for b in range(1 << bits[number])]
     plan = spark.createDataFrame(tasks, "number int, block int").repartitionByRange(len(tasks), "number", "block")
 

@@ -54,3 +54,39 @@ def test_quantiles():
     assert quantile(1, 0.05) == pytest.approx(3.841, abs=1e-3)
     assert quantile(8, 0.01) == pytest.approx(20.090, abs=1e-3)
     assert quantile(3, 0.5) == pytest.approx(2.366, abs=1e-3)
+
+
+def test_sorting_does_not_grow_with_blocks(monkeypatch):
+    """What was found is sorted when it has grown, not for every block that is read; ids decide ties."""
+    from mnemora.llm import neighbours as N
+
+    r = np.random.default_rng(3)
+    v = np.repeat(r.standard_normal((600, 16)), 4, axis=0) + r.standard_normal((2400, 16)) * 0.15
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    ids = np.array([f"i{k:05}" for k in r.permutation(len(v))], object)
+    tree = N.ProjectionTree(v, 8)
+    leaf = tree.leaves(v)
+
+    class Blocks:
+        def read(self, block):
+            own = np.flatnonzero(leaf >> 2 == block)
+            own = own[np.lexsort((ids[own].astype(str), leaf[own]))]
+            return ids[own], leaf[own], v[own]
+
+    sorts = []
+    real = N._Best.settle
+    monkeypatch.setattr(N._Best, "settle", lambda self: (sorts.append(1) if self._more else None, real(self))[1])
+    found, neighbour, cos = N.search_block(tree, Blocks(), 5, 6, 5, 0.85, 1e-6)
+    sorts.clear()
+    N.search_block(tree, Blocks(), 5, 6, 5, 0.3, 0.01)
+    assert 0 < len(sorts) <= 32  # of 64 blocks, each read twice
+    place = {i: k for k, i in enumerate(ids)}
+    got = {(a, b) for a, b in zip(found, neighbour)}
+    for a in set(Blocks().read(5)[0]):
+        s = np.round(v.astype(np.float64) @ v[place[a]].astype(np.float64), 6)
+        want = {ids[k] for k in np.flatnonzero(s >= 0.8501) if ids[k] != a}
+        assert len(want) > 10 or {(a, b) for b in want} <= got
+    q, c = r.integers(0, 9, 500), np.round(r.random(500), 1)
+    some = ids[r.integers(0, 99, 500)]
+    order, want = N._best_first(q, c, some), np.lexsort((some.astype(str), -c, q))
+    assert all((q[a], c[a], some[a]) == (q[b], c[b], some[b]) for a, b in zip(order, want))
